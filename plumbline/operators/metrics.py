@@ -87,10 +87,16 @@ def selective(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     return rows.agg(F.avg(F.when(sure, F.col("correct").cast("double"))).alias("accuracy"), share(sure).alias("coverage"))
 
 
+def seconds_of(ts: Column) -> Column:
+    """Seconds since 1970 of a timestamp with or without time zone, in the session's zone."""
+    return (F.unix_date(F.to_date(ts)) * F.lit(86400.0) + F.hour(ts) * 3600 + F.minute(ts) * 60
+            + F.extract(F.lit("SECOND"), ts).cast("double"))
+
+
 def latency_summary(log: DataFrame, keys: list[str], millis: str, start: str, end: str) -> DataFrame:
     """Requests, p50 (mean of the middle values), p95 (value at floor(0.95 * (n - 1))) and throughput per second."""
     ranked = order_statistics(log, keys, millis, latency_ranks())
-    busy = (F.max(F.unix_micros(end)) - F.min(F.unix_micros(start))) / 1e6
+    busy = F.max(seconds_of(F.col(end))) - F.min(seconds_of(F.col(start)))
     span = log.filter(F.col(millis).isNotNull()).groupBy(*keys).agg(busy.alias("seconds"))
     both = ranked.join(span, keys) if keys else ranked.withColumn("seconds", span.scalar())
     return both.select(*keys, "n", ((F.col("mid_lo") + F.col("mid_hi")) / 2).alias("p50_ms"), F.col("p95").alias("p95_ms"),
