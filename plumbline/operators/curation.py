@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import draws, fixed, maths, text
 from plumbline.operators.leakage import near_copies
@@ -56,7 +57,7 @@ def top_label(probs: Column) -> Column:
 
 # ---- similarity of two short texts -----------------------------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a.split(), b.split()).ratio()
                       for a, b in zip(left, right)], dtype="float64")

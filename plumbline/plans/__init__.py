@@ -1,4 +1,5 @@
 """Importing this package registers every query."""
 
-from plumbline.plans import leakage_queries, metric_queries, retrieval_queries, strict_queries  # noqa: F401
+from plumbline.plans import (  # noqa: F401
+    curation_queries, date_queries, leakage_queries, metric_queries, retrieval_queries, strict_queries)
 from plumbline.plans.registry import ORACLES, QUERIES  # noqa: F401

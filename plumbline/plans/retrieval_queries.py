@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed, prompts, text
 from plumbline.operators import retrieval
 from plumbline.plans.registry import query, sql_strip
-from plumbline.session import spread
+from plumbline.session import materialise, spread
 
 STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
 NO_SPACE = fixed.NO_SPACE_CLASS
@@ -64,7 +64,7 @@ def corpus_of(t):
 
 
 def found(t):
-    indexed = retrieval.index(passage_table(t), "lang", ["doc_id", "passage"])
+    indexed = materialise(retrieval.index(passage_table(t), "lang", ["doc_id", "passage"]), "index")
     asked = retrieval.user_query(t.conversations).join(corpus_of(t), "conv_id")
     return retrieval.search(asked, indexed, "lang", "conv_id", ["doc_id", "passage"])
 

@@ -7,9 +7,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEADER = r"(?s)^[ \t]*---[ \t]*\n(.*?)(?:^|\n)[ \t]*---[ \t]*(?:\n|$)(.*)$"
-META = "map<string,struct<text:string,items:array<string>>>"
+META = T.MapType(T.StringType(), T.StructType([T.StructField("text", T.StringType()), T.StructField("items", T.ArrayType(T.StringType()))]))
 _KEY_LINE = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*):[ \t]*(.*)")
 _BLOCK_MARKS = {"", ">", "|", ">-", "|-", ">+", "|+"}
 
