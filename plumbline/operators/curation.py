@@ -117,7 +117,7 @@ def validate_templates(drafts: DataFrame) -> DataFrame:
                            .when(length_bad, F.lit("input length or identical")))
     rows = rows.withColumn("_ratio", similarity(F.when(F.col("_pre").isNull(), F.col("p.a")), F.col("p.b")))
     rows = rows.withColumn("_pre", F.coalesce("_pre", F.when(F.col("_ratio") < 0.35, F.concat(
-        F.lit("edit too large ("), F.format_number("_ratio", "0.00"), F.lit(")")))))
+        F.lit("edit too large ("), F.format_string("%.2f", "_ratio"), F.lit(")")))))
     near = (rows.filter(F.col("_pre").isNull()).select("tid", "at", "_ex", F.explode(F.array("p.a", "p.b")).alias("x"))
             .select("tid", "at", "x", F.explode("_ex.state").alias("e")))
     near = (near.filter(similarity_bound(F.col("x"), F.col("e")) > 0.9).filter(similarity(F.col("x"), F.col("e")) > 0.9)

@@ -10,141 +10,140 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import dates, fixed, maths, prompts, text
+from plumbline.functions.binding import let
 
 TEXT_MAP = "map<string,string>"
+EXAMPLES = "array<struct<state_json:string,state:string,gold:string>>"
 
 
 def _kind(v: Column) -> Column:
     """object, array, string, or other; null when the value is absent or JSON null."""
-    schema = F.schema_of_variant(v)
-    return (F.when(v.isNull() | (schema == "VOID"), F.lit(None).cast("string"))
-            .when(schema.startswith("OBJECT"), F.lit("object")).when(schema.startswith("ARRAY"), F.lit("array"))
-            .when(schema == "STRING", F.lit("string")).otherwise(F.lit("other")))
+    return let(F.schema_of_variant(v), lambda s: F.when(s.isNull() | (s == "VOID"), F.lit(None).cast("string"))
+               .when(s.startswith("OBJECT"), F.lit("object")).when(s.startswith("ARRAY"), F.lit("array"))
+               .when(s == "STRING", F.lit("string")).otherwise(F.lit("other")))
 
 
-def _shape(json: Column) -> Column:
-    return F.try_parse_json(json)
+def _part(v: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, "$." + name if name else "$", kind)
 
 
-def _plain(raw: Column, v: Column) -> Column:
+def _is(kind: Column, *names: str) -> Column:
+    return F.coalesce(kind.isin(*names), F.lit(False))
+
+
+def _plain(raw: Column, is_object: Column) -> Column:
     """Text of an instruction or description: a string as it is, {system, instruction} as two paragraphs, any other
     JSON as compact JSON. `raw` is the text a string map gives for the value."""
-    parts = F.from_json(raw, TEXT_MAP)
-    two = F.array_sort(F.map_keys(parts)) == F.array(F.lit("instruction"), F.lit("system"))
-    return F.when((_kind(v) == "object") & two, F.concat(parts["system"], F.lit("\n\n"), parts["instruction"])
-                  ).otherwise(raw)
+    two = F.array(F.lit("instruction"), F.lit("system"))
+    return F.when(is_object, let(F.from_json(raw, TEXT_MAP), lambda m: F.when(
+        F.array_sort(F.map_keys(m)) == two, F.concat(m["system"], F.lit("\n\n"), m["instruction"])).otherwise(raw))).otherwise(raw)
+
+
+def _problem(field: Column, message: str | Column) -> Column:
+    return F.struct(field.alias("field"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+
+
+def _entry(key: Column, value: Column, v: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"), v.alias("v"))
+
+
+def _criterion(e: Column) -> Column:
+    """(key, description, examples, bad) of one criterion: a text, other JSON, or {what, examples}."""
+    shape = F.struct(_kind(e["v"]).alias("kind"), _kind(_part(e["v"], "what")).alias("what"),
+                     _kind(_part(e["v"], "examples")).alias("shown"), F.from_json(e["value"], TEXT_MAP).alias("parts"))
+
+    def read(s: Column) -> Column:
+        described = _is(s["kind"], "object") & _is(s["what"], "string")
+        listed = described & _is(s["shown"], "array")
+        raw = s["parts"]["examples"]
+        # absent, null, false, zero and empty values of `examples` all mean "none"
+        blank = s["shown"].isNull() | F.coalesce(F.when(s["shown"] == "string", raw == "").otherwise(
+            raw.isin("false", "0", "0.0", "{}", "[]")), F.lit(True))
+        bad = (F.when(described & ~blank & ~listed, F.lit(fixed.ERR_EXAMPLES))
+               .when(~described & (~_is(s["kind"], "string", "object", "array") |
+                                   (_is(s["kind"], "object", "array") & e["value"].isin("{}", "[]"))), F.lit(fixed.ERR_CRITERION)))
+        shown = F.when(listed, F.transform(F.arrays_zip(
+            F.from_json(raw, "array<string>").alias("raw"), _part(e["v"], "examples", "array<variant>").alias("v")),
+            lambda x: F.struct(prompts.json_value(x["raw"], _is(_kind(x["v"]), "string")).alias("state_json"),
+                               x["raw"].alias("state"), e["key"].alias("gold"))))
+        said = F.when(described, s["parts"]["what"]).otherwise(_plain(e["value"], _is(s["kind"], "object")))
+        return F.struct(e["key"].alias("key"), said.alias("description"), shown.alias("examples"), bad.alias("bad"))
+
+    return let(shape, read)
+
+
+def _criteria(kind: Column, raw: Column, v: Column, shape: Column) -> Column:
+    """Criteria as (key, value, v) in the order they were given; null when they do not fit the question type."""
+    defaults = F.array(*[_entry(F.lit(k), F.lit(d), F.parse_json(prompts.json_string(F.lit(d)))) for k, d in (
+        ("true", fixed.YES_DEFAULT), ("false", fixed.NO_DEFAULT))])
+    named = let(F.from_json(raw, TEXT_MAP), lambda m: let(_part(v, "", "map<string,variant>"), lambda vs: F.transform(
+        F.when(kind == "noul", F.array(F.lit("true"), F.lit("false"))).otherwise(F.map_keys(m)),
+        lambda k: _entry(k, m[k], vs[k]))))
+    placed = F.transform(F.arrays_zip(F.from_json(raw, "array<string>").alias("raw"), _part(v, "", "array<variant>").alias("v")),
+                         lambda x, i: _entry(i.cast("string"), x["raw"], x["v"]))
+    return (F.when((kind == "noul") & shape.isNull(), defaults)
+            .when(kind.isin("noul", "choice") & (shape == "object"), named)
+            .when((kind == "score") & (shape == "array"), placed))
 
 
 def explode_tasks(requests: DataFrame, request_id: str = "request_id", body: str = "body") -> DataFrame:
     """One row per question with its first problem, if any: (request_id, ord, qid, kind, question, options, examples,
-    explain, state, state_is_text, field, message). A request that fails as a whole is one row without a qid."""
-    base = requests.select(request_id, F.col(body).alias("_body")).withColumn("_v", _shape(F.col("_body")))
-    base = base.withColumn("_is_object", F.coalesce(_kind(F.col("_v")) == "object", F.lit(False)))
-    base = base.withColumn("_top", F.when(F.col("_is_object"), F.from_json("_body", TEXT_MAP)))
-    base = base.withColumn("_has_state", F.coalesce(F.map_contains_key("_top", F.lit("state")), F.lit(False)))
-    base = base.withColumn("_q", F.try_variant_get("_v", "$.questions", "map<string,variant>"))
-    state_v = F.try_variant_get("_v", "$.state", "variant")
-    base = base.withColumn("_state_text", F.coalesce(_kind(state_v) == "string", F.lit(False)))
-    problem = (F.when(~F.col("_is_object"), F.struct(F.lit("body").alias("field"), F.lit(fixed.ERR_BODY).alias("message")))
-               .when(~F.col("_has_state"), F.struct(F.lit("state").alias("field"), F.lit(fixed.ERR_STATE).alias("message")))
-               .when(F.coalesce(F.size("_q") <= 0, F.lit(True)) | F.col("_q").isNull(),
-                     F.struct(F.lit("questions").alias("field"), F.lit(fixed.ERR_QUESTIONS).alias("message"))))
-    base = base.withColumn("_problem", problem)
-    ordered = F.map_entries(F.from_json(F.col("_top")["questions"], TEXT_MAP))
-    rows = base.select(
-        request_id, "_problem", "_q", F.coalesce(F.col("_top")["state"], F.lit("null")).alias("state"),
-        F.col("_state_text").alias("state_is_text"),
-        F.posexplode_outer(F.when(F.col("_problem").isNull(), ordered)).alias("ord", "_e"))
-    rows = rows.select(request_id, "_problem", "state", "state_is_text", "ord", F.col("_e.key").alias("qid"),
-                       F.col("_e.value").alias("_raw"), F.col("_q")[F.col("_e.key")].alias("_v"))
-    fields = F.when(_kind(F.col("_v")) == "object", F.from_json("_raw", TEXT_MAP))
-    rows = rows.withColumn("_f", fields)
-    for name in ("type", "instructions", "criteria", "explain"):
-        rows = rows.withColumn("_v_" + name, F.try_variant_get("_v", "$." + name, "variant"))
-    criteria_kind = _kind(F.col("_v_criteria"))
-    no_criteria = F.coalesce(criteria_kind.isNull(), F.lit(True))
-    kind = F.when(_kind(F.col("_v_type")) == "string", F.col("_f")["type"])
-    default = F.array(F.struct(F.lit("true").alias("key"), F.lit(fixed.YES_DEFAULT).alias("value")),
-                      F.struct(F.lit("false").alias("key"), F.lit(fixed.NO_DEFAULT).alias("value")))
-    as_map = F.from_json(F.col("_f")["criteria"], TEXT_MAP)
-    entries = F.map_entries(as_map)
-    yes_no = F.transform(F.array(F.lit("true"), F.lit("false")), lambda k: F.struct(
-        k.alias("key"), as_map[k].alias("value")))
-    levels = F.transform(F.from_json(F.col("_f")["criteria"], "array<string>"),
-                         lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")))
-    rows = rows.withColumn("kind", kind).withColumn("_criteria_kind", criteria_kind)
-    by_key = F.try_variant_get("_v_criteria", "$", "map<string,variant>")
-    by_place = F.try_variant_get("_v_criteria", "$", "array<variant>")
-    rows = rows.withColumn("_entries", F.when((F.col("kind") == "noul") & no_criteria, default)
-                           .when((F.col("kind") == "noul") & (criteria_kind == "object"), yes_no)
-                           .when((F.col("kind") == "choice") & (criteria_kind == "object"), entries)
-                           .when((F.col("kind") == "score") & (criteria_kind == "array"), levels))
-    rows = rows.withColumn("_named", F.when(F.col("_criteria_kind") == "object", by_key))
-    rows = rows.withColumn("_placed", F.when(F.col("_criteria_kind") == "array", by_place))
-
-    def shape_of(e: Column, i: Column) -> Column:
-        return F.when(no_criteria, F.parse_json(prompts.json_string(e["value"]))).when(
-            F.col("kind") == "score", F.get(F.col("_placed"), i)).otherwise(F.col("_named")[e["key"]])
-
-    def read(e: Column, i: Column) -> Column:
-        v = shape_of(e, i)
-        what = F.try_variant_get(v, "$.what", "variant")
-        given = F.try_variant_get(v, "$.examples", "variant")
-        parts = F.from_json(e["value"], TEXT_MAP)
-        described = F.coalesce((_kind(v) == "object") & (_kind(what) == "string"), F.lit(False))
-        # absent, null and empty values of `examples` all mean "none"
-        blank = _kind(given).isNull() | F.coalesce(parts["examples"].isin("false", "0", "", "{}", "0.0"), F.lit(True))
-        empty = F.coalesce(parts["examples"].isin(), F.lit(False)) | e["value"].isin("{}", "[]")
-        bad = (F.when(described & ~blank & (_kind(given) != "array"), F.lit(fixed.ERR_EXAMPLES))
-               .when(~described & F.coalesce(~_kind(v).isin("string", "object", "array"), F.lit(True)),
-                     F.lit(fixed.ERR_CRITERION))
-               .when(~described & _kind(v).isin("object", "array") & empty, F.lit(fixed.ERR_CRITERION)))
-        shown = F.when(described & (_kind(given) == "array"), F.transform(
-            F.arrays_zip(F.from_json(parts["examples"], "array<string>").alias("raw"),
-                         F.try_variant_get(given, "$", "array<variant>").alias("v")),
-            lambda x: F.struct(prompts.json_value(x["raw"], _kind(x["v"]) == "string").alias("state_json"),
-                               F.when(_kind(x["v"]) == "string", x["raw"]).otherwise(x["raw"]).alias("state"),
-                               e["key"].alias("gold"))))
-        return F.struct(e["key"].alias("key"),
-                        F.when(described, parts["what"]).otherwise(_plain(e["value"], v)).alias("description"),
-                        shown.alias("examples"), bad.alias("bad"))
-
-    rows = rows.withColumn("_read", F.transform("_entries", read))
-    where = F.concat(F.lit("questions."), F.col("qid"))
-    instructions_kind = _kind(F.col("_v_instructions"))
-    said = _plain(F.col("_f")["instructions"], F.col("_v_instructions"))
-    no_instructions = F.coalesce(~instructions_kind.isin("string", "object", "array"), F.lit(True)) \
-        | F.coalesce(text.strip(said) == "", F.lit(True)) | F.coalesce(F.col("_f")["instructions"].isin("{}", "[]"),
-                                                                       F.lit(False))
-    first_bad = F.get(F.filter("_read", lambda r: r["bad"].isNotNull()), 0)
-    count = F.size("_entries")
-
-    def error(at: Column, message: str | Column) -> Column:
-        return F.struct(at.alias("field"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
-
+    explain, state, state_is_text, field, message). A request that fails as a whole is one row without a qid. Every
+    JSON value is parsed once: what the next step needs travels in the rows of the generator."""
+    def request(v: Column) -> Column:
+        return let(_kind(v), lambda kind: let(F.when(kind == "object", F.from_json(F.col(body), TEXT_MAP)), lambda top: let(
+            _part(v, "questions", "map<string,variant>"), lambda asked: F.struct(
+                F.coalesce(top["state"], F.lit("null")).alias("state"),
+                _is(_kind(_part(v, "state")), "string").alias("state_is_text"),
+                F.when(~_is(kind, "object"), _problem(F.lit("body"), fixed.ERR_BODY))
+                .when(~F.coalesce(F.map_contains_key(top, F.lit("state")), F.lit(False)), _problem(F.lit("state"), fixed.ERR_STATE))
+                .when(F.coalesce(F.size(asked), F.lit(0)) <= 0, _problem(F.lit("questions"), fixed.ERR_QUESTIONS)).alias("problem"),
+                F.transform(F.map_entries(F.from_json(top["questions"], TEXT_MAP)), lambda e: F.struct(
+                    e["key"].alias("qid"), e["value"].alias("raw"), asked[e["key"]].alias("v"))).alias("asked")))))
+
+    heads = requests.select(request_id, let(F.try_parse_json(F.col(body)), request).alias("_r"))
+    rows = heads.select(request_id, F.col("_r.problem").alias("_whole"), F.col("_r.state").alias("state"),
+                        F.col("_r.state_is_text").alias("state_is_text"),
+                        F.posexplode_outer(F.when(F.col("_r.problem").isNull(), F.col("_r.asked"))).alias("ord", "_e"))
+
+    def question(e: Column) -> Column:
+        shapes = F.struct(_kind(e["v"]).alias("kind"), _kind(_part(e["v"], "type")).alias("type"),
+                          _kind(_part(e["v"], "instructions")).alias("asks"), _kind(_part(e["v"], "criteria")).alias("criteria"),
+                          F.from_json(e["raw"], TEXT_MAP).alias("f"))
+        return let(shapes, lambda s: let(F.when(s["type"] == "string", s["f"]["type"]), lambda kind: F.struct(
+            s["kind"].alias("shape"), kind.alias("kind"), s["asks"].alias("asks"), s["criteria"].alias("criteria_shape"),
+            s["f"]["instructions"].alias("raw_question"),
+            text.strip(_plain(s["f"]["instructions"], _is(s["asks"], "object"))).alias("question"), s["f"]["explain"].alias("explain"),
+            F.map_keys(F.when(s["criteria"] == "object", F.from_json(s["f"]["criteria"], TEXT_MAP))).alias("named"),
+            F.transform(_criteria(kind, s["f"]["criteria"], _part(e["v"], "criteria"), s["criteria"]), _criterion).alias("read"))))
+
+    rows = rows.withColumn("_q", F.explode_outer(F.array(question(F.col("_e")))))
+    q = lambda name: F.col("_q." + name)
+    where = F.concat(F.lit("questions."), F.col("_e.qid"))
     crit = F.concat(where, F.lit(".criteria"))
-    keys_ok = F.coalesce(F.array_sort(F.map_keys(as_map)) == F.array(F.lit("false"), F.lit("true")), F.lit(False))
-    found = (F.when(F.col("_problem").isNotNull(), F.col("_problem"))
-             .when(F.coalesce(_kind(F.col("_v")) != "object", F.lit(True)), error(where, fixed.ERR_QUESTION))
-             .when(no_instructions, error(F.concat(where, F.lit(".instructions")), fixed.ERR_INSTRUCTIONS))
-             .when(F.coalesce(~F.col("kind").isin("noul", "choice", "score"), F.lit(True)),
-                   error(F.concat(where, F.lit(".type")), fixed.ERR_TYPE))
-             .when((F.col("kind") == "noul") & ~no_criteria & ~((criteria_kind == "object") & keys_ok),
-                   error(crit, fixed.ERR_NOUL))
-             .when((F.col("kind") == "choice") & (F.coalesce(criteria_kind != "object", F.lit(True)) | (count < 2)),
-                   error(crit, fixed.ERR_CHOICE))
-             .when((F.col("kind") == "score") & (F.coalesce(criteria_kind != "array", F.lit(True)) | (count < 2)
-                                                 | (count > 10)), error(crit, fixed.ERR_SCORE))
-             .when(first_bad.isNotNull(), error(F.concat(crit, F.lit("."), first_bad["key"]), first_bad["bad"]))
-             .when(count > fixed.MAX_OPTIONS, error(crit, fixed.ERR_MANY)))
-    truthy = F.coalesce(~F.col("_f")["explain"].isin("false", "0", "", "[]", "{}", "null"), F.lit(False))
-    return rows.withColumn("_err", found).select(
-        request_id, "ord", "qid", "kind", text.strip(said).alias("question"),
-        F.transform("_read", lambda r: F.struct(r["key"].alias("key"), r["description"].alias("description"))).alias("options"),
-        F.coalesce(F.flatten(F.filter(F.transform("_read", lambda r: r["examples"]), lambda x: x.isNotNull())),
-                   F.array().cast("array<struct<state_json:string,state:string,gold:string>>")).alias("examples"),
-        truthy.alias("explain"), "state", "state_is_text", F.col("_err.field").alias("field"),
-        F.col("_err.message").alias("message"))
+    first_bad = F.get(F.filter(q("read"), lambda r: r["bad"].isNotNull()), 0)
+    count = F.coalesce(F.size(q("read")), F.lit(-1))
+    unasked = (~_is(q("asks"), "string", "object", "array") | F.coalesce(q("question") == "", F.lit(True))
+               | F.coalesce(q("raw_question").isin("{}", "[]") & (q("asks") != "string"), F.lit(False)))
+    both = F.coalesce(F.array_sort(q("named")) == F.array(F.lit("false"), F.lit("true")), F.lit(False))
+    found = (F.when(F.col("_whole").isNotNull(), F.col("_whole"))
+             .when(~_is(q("shape"), "object"), _problem(where, fixed.ERR_QUESTION))
+             .when(unasked, _problem(F.concat(where, F.lit(".instructions")), fixed.ERR_INSTRUCTIONS))
+             .when(~_is(q("kind"), "noul", "choice", "score"), _problem(F.concat(where, F.lit(".type")), fixed.ERR_TYPE))
+             .when((q("kind") == "noul") & q("criteria_shape").isNotNull() & ~both, _problem(crit, fixed.ERR_NOUL))
+             .when((q("kind") == "choice") & (~_is(q("criteria_shape"), "object") | (count < 2)), _problem(crit, fixed.ERR_CHOICE))
+             .when((q("kind") == "score") & (~_is(q("criteria_shape"), "array") | (count < 2) | (count > 10)),
+                   _problem(crit, fixed.ERR_SCORE))
+             .when(first_bad.isNotNull(), _problem(F.concat(crit, F.lit("."), first_bad["key"]), first_bad["bad"]))
+             .when(count > fixed.MAX_OPTIONS, _problem(crit, fixed.ERR_MANY)))
+    truthy = F.coalesce(~q("explain").isin("false", "0", "", "[]", "{}", "null"), F.lit(False))
+    shots = F.flatten(F.filter(F.transform(q("read"), lambda r: r["examples"]), lambda x: x.isNotNull()))
+    checked = rows.withColumn("_err", F.explode_outer(F.array(found)))
+    return checked.select(
+        request_id, "ord", F.col("_e.qid").alias("qid"), q("kind").alias("kind"), q("question").alias("question"),
+        F.transform(q("read"), lambda r: F.struct(r["key"].alias("key"), r["description"].alias("description"))).alias("options"),
+        F.coalesce(shots, F.array().cast(EXAMPLES)).alias("examples"), truthy.alias("explain"), "state", "state_is_text",
+        F.col("_err.field").alias("field"), F.col("_err.message").alias("message"))
 
 
 def rejected(exploded: DataFrame, request_id: str = "request_id") -> DataFrame:

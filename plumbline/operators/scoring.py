@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions import fixed, maths, text
+from plumbline.functions import dates, fixed, maths, text
 from plumbline.functions.binding import let
 from plumbline.operators import requests
 from plumbline.session import materialise
@@ -33,20 +33,21 @@ def tournament(df: DataFrame, options: str, score: Callable[[Column], Column], o
     """Probabilities for any number of options. Options are decided in groups of `group`, each group's winner goes to
     the next round, and an eliminated option keeps its share within its group times the final probability of that
     group's winner. Everything happens inside the row: three rounds cover 512 options and nothing is shuffled."""
-    work = df.withColumn("_o0", F.col(options))
-    for r in range(rounds):
-        o, g, p, w = f"_o{r}", f"_g{r}", f"_p{r}", f"_w{r}"
-        work = work.withColumn(g, F.transform(F.sequence(F.lit(0), F.floor((F.size(o) - 1) / group).cast("int")),
-                                              lambda i: F.slice(F.col(o), i * group + 1, group)))
-        work = work.withColumn(p, F.transform(g, score))
-        work = work.withColumn(w, F.transform(p, maths.first_top))
-        work = work.withColumn(f"_o{r + 1}", F.transform(g, lambda x, i: F.element_at(x, F.get(F.col(w), i))))
-    work = work.withColumn("_final", maths.normalised(F.flatten(F.transform(f"_p{rounds - 1}", lambda p, i: F.transform(
-        p, lambda v: v / F.element_at(p, F.get(F.col(f"_w{rounds - 1}"), i)))))))
-    for r in reversed(range(rounds - 1)):
-        work = work.withColumn("_final", maths.normalised(F.flatten(F.transform(f"_p{r}", lambda p, i: F.transform(
-            p, lambda v: F.get(F.col("_final"), i) * v / F.element_at(p, F.get(F.col(f"_w{r}"), i)))))))
-    return work.select(*df.columns, F.col("_final").alias(out))
+    def round_of(opts: Column) -> Column:
+        """Groups of `opts` with their probabilities and the place of the winner."""
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(opts) - 1) / group).cast("int")),
+                             lambda i: F.slice(opts, i * group + 1, group))
+        return F.transform(groups, lambda g: let(score(g), lambda p: F.struct(
+            p.alias("p"), maths.first_top(p).alias("at"), F.element_at(g, maths.first_top(p)).alias("winner"))))
+
+    def play(opts: Column, left: int) -> Column:
+        if left == 0:
+            return F.array(F.lit(1.0))
+        return let(round_of(opts), lambda r: let(play(F.transform(r, lambda g: g["winner"]), left - 1), lambda final: maths.normalised(
+            F.flatten(F.transform(r, lambda g, i: F.transform(g["p"], lambda v: F.get(final, i) * v / F.element_at(g["p"], g["at"])))))))
+
+    few = F.size(options) <= group
+    return df.withColumn(out, F.when(few, score(F.col(options))).otherwise(play(F.when(~few, F.col(options)), rounds)))
 
 
 def _retry(call, rows: list[dict], attempts: int, pause: float):
@@ -160,63 +161,36 @@ def ask(states: DataFrame, state: str, question: str, kind: str, options: list[t
 
 
 def register_functions(spark) -> None:
-    """SQL functions: decide(state, keys, descriptions), yes_no(state), rate(state, levels), confidence(probs),
-    exact_facts(text), retrieval_words(text), date_facts(text). All but date_facts are SQL expressions over the
-    built-in scorer, inlined by the optimizer."""
+    """SQL functions. Native, inlined by the optimizer: retrieval_words(text), confidence(probs),
+    option_probs(words of the state, options), decide(state, options), yes_no(state, yes, no), rate(state, levels), where
+    options is an array of (key, description). Over an Arrow helper: date_mentions(text)."""
     stop = ", ".join("'" + w + "'" for w in fixed.STOP_WORDS)
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION retrieval_words(t STRING) RETURNS ARRAY<STRING> RETURN
-        flatten(transform(regexp_extract_all(lower(t), r'{text.RUN}', 0), w -> CASE
-            WHEN w RLIKE r'{fixed.NO_SPACE_CLASS}' THEN
-                transform(sequence(1, greatest(1, length(w) - 1)), i -> substring(w, i, 2))
-            WHEN array_contains(array({stop}), w) THEN CAST(array() AS ARRAY<STRING>)
-            WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN array(substring(w, 1, length(w) - 1))
-            ELSE array(w) END))""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION confidence(p ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
+    define = "CREATE OR REPLACE TEMPORARY FUNCTION "
+    spark.sql(define + """confidence(p ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
         CASE WHEN size(p) > 1 THEN round(greatest(0D, 1 - aggregate(p, 0D, (a, x) -> a + CASE WHEN x > 0
         THEN -x * ln(x) ELSE 0D END) / ln(size(p))), 4) ELSE 1D END""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION option_probs(state STRING, keys ARRAY<STRING>,
-            said ARRAY<STRING>) RETURNS MAP<STRING, DOUBLE> RETURN (
-        SELECT map_from_arrays(keys, transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))) FROM (
-            SELECT transform(said, (d, i) -> exp(CAST(size(array_intersect(array_distinct(retrieval_words(state)),
-                retrieval_words(concat_ws(' ', regexp_replace(keys[i], '_', ' '), d)))) AS DOUBLE))) AS e))""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION decide(state STRING, keys ARRAY<STRING>, said ARRAY<STRING>)
-        RETURNS STRING RETURN (SELECT keys[CAST(array_position(map_values(m), array_max(map_values(m))) AS INT) - 1]
-        FROM (SELECT option_probs(state, keys, said) AS m))""")
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION yes_no(state STRING, yes STRING, no STRING) RETURNS DOUBLE RETURN
-        round(option_probs(state, array('true', 'false'), array(yes, no))['true'], 4)""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION rate(state STRING, levels ARRAY<STRING>) RETURNS DOUBLE RETURN
-        round(aggregate(map_entries(option_probs(state, transform(levels, (l, i) -> CAST(i AS STRING)), levels)), 0D,
-        (a, e) -> a + CAST(e.key AS INT) * e.value), 4)""")
-    email, link = fixed.EMAIL, fixed.LINK.replace("'", "\\x27")
-    clock, number, thousands = fixed.CLOCK, fixed.NUMBER, fixed.THOUSANDS
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION exact_facts(t STRING) RETURNS ARRAY<STRING> RETURN (
-        SELECT array_distinct(concat(
-            transform(regexp_extract_all(t, r'{email}', 0), m -> regexp_replace(lower(m), r'[.,]+$', '')),
-            transform(regexp_extract_all(a, r'{link}', 0), m -> regexp_replace(regexp_replace(regexp_replace(
-                lower(m), r'[.,;:!?]+$', ''), r'^(?:https?://)?(?:www\\.)?', ''), r'/+$', '')),
-            transform(regexp_extract_all(b, r'{clock}', 0), m -> concat(CAST(CAST(regexp_extract(m, r'{clock}', 1) AS INT)
-                AS STRING), ':', CASE WHEN regexp_extract(m, r'{clock}', 2) = '' THEN '00'
-                ELSE regexp_extract(m, r'{clock}', 2) END, lower(regexp_extract(m, r'{clock}', 3)), 'm')),
-            transform(filter(transform(regexp_extract_all(c, r'{number}', 0), m -> regexp_replace(m, r'{thousands}', '')),
-                m -> length(regexp_replace(m, '[^0-9]', '')) >= 3),
-                m -> CASE WHEN m RLIKE r'^[0-9]+\\.[0-9]+$' THEN regexp_replace(m, r'\\.?0+$', '') ELSE m END)))
-        FROM (SELECT a, b, regexp_replace(b, r'{clock}', ' ') AS c FROM (
-            SELECT a, regexp_replace(a, r'{link}', ' ') AS b FROM (SELECT regexp_replace(t, r'{email}', ' ') AS a))))""")
-    spark.udf.register("date_mentions", _date_mentions_udf())
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION date_facts(found ARRAY<STRUCT<pos: INT, surface: STRING,
-            date: DATE, month: INT, day: INT>>) RETURNS ARRAY<STRING> RETURN (
-        SELECT slice(flatten(transform(slice(d, 1, 7), (a, i) -> transform(filter(slice(d, 1, 7), (b, j) -> j > i),
-            b -> CASE WHEN datediff(b.date, a.date) = 0 THEN concat(b.surface, ' is the same day as ', a.surface)
-            ELSE concat(b.surface, ' is ', abs(datediff(b.date, a.date)),
-                CASE WHEN abs(datediff(b.date, a.date)) = 1 THEN ' day ' ELSE ' days ' END,
-                CASE WHEN datediff(b.date, a.date) > 0 THEN 'after ' ELSE 'before ' END, a.surface) END))), 1, 6)
-        FROM (SELECT filter(k, (m, i) -> array_position(transform(k, x -> x.surface), m.surface) = i + 1) AS d FROM (
-            SELECT filter(transform(found, m -> named_struct('surface', m.surface, 'date', coalesce(m.date,
-                try_to_date(concat_ws('-', year(filter(found, x -> x.date IS NOT NULL)[0].date),
-                lpad(CAST(m.month AS STRING), 2, '0'), lpad(CAST(m.day AS STRING), 2, '0')), 'yyyy-MM-dd')))),
-                m -> m.date IS NOT NULL) AS k)))""")
-
-
-def _date_mentions_udf():
-    from plumbline.functions import dates
-    return dates._find
+    spark.udf.register("date_mentions", dates._find)
+    option = "ARRAY<STRUCT<key: STRING, description: STRING>>"
+    words = f"""flatten(transform(regexp_extract_all(lower(<text>), r'{text.RUN}', 0), w -> CASE
+        WHEN w RLIKE r'{fixed.NO_SPACE_CLASS}' THEN
+            transform(sequence(1, greatest(1, length(w) - 1)), i -> substring(w, i, 2))
+        WHEN array_contains(array({stop}), w) THEN CAST(array() AS ARRAY<STRING>)
+        WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN array(substring(w, 1, length(w) - 1))
+        ELSE array(w) END))"""
+    spark.sql(define + "retrieval_words(t STRING) RETURNS ARRAY<STRING> RETURN " + words.replace("<text>", "t"))
+    said = words.replace("<text>", "concat_ws(' ', regexp_replace(o.key, '_', ' '), o.description)")
+    # one-element arrays bind a value, so that it is computed once
+    probs = f"""transform(array(transform(array(array_distinct({words.replace('<text>', '<state>')})), seen -> transform(<options>,
+        o -> exp(CAST(size(array_intersect(seen, {said})) AS DOUBLE))))[0]), e -> transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y)))[0]"""
+
+    def with_options(options: str) -> str:
+        return probs.replace("<state>", "state").replace("<options>", options)
+
+    spark.sql(define + f"option_probs(state STRING, opts {option}) RETURNS ARRAY<DOUBLE> RETURN " + with_options("opts"))
+    spark.sql(define + f"decide(state STRING, opts {option}) RETURNS STRING RETURN transform(array(" + with_options("opts")
+              + "), p -> opts[CAST(array_position(p, array_max(p)) AS INT) - 1].key)[0]")
+    yes_no = "array(named_struct('key', 'true', 'description', yes), named_struct('key', 'false', 'description', no))"
+    spark.sql(define + "yes_no(state STRING, yes STRING, no STRING) RETURNS DOUBLE RETURN round((" + with_options(yes_no) + ")[0], 4)")
+    levels = "transform(levels, (l, n) -> named_struct('key', CAST(n AS STRING), 'description', l))"
+    spark.sql(define + "rate(state STRING, levels ARRAY<STRING>) RETURNS DOUBLE RETURN round(aggregate(transform("
+              + with_options(levels) + ", (p, n) -> p * n), 0D, (a, x) -> a + x), 4)")

@@ -60,7 +60,7 @@ def triage_decisions(t):
     return done.select("request_id", F.col("ord").cast("bigint").alias("ord"), "qid", "kind", "noul", "choice", "score", "confidence")
 
 
-@query("decision_prompts", f"""WITH {_sql_decisions()}, o AS (SELECT ord, qid, kind, string_agg('{{"label":"' || chr(CAST(65 + pos AS INTEGER)) || '","key":"' || key || '","description":"' || regexp_replace(substr(said, length(key) + 2), '"', '\\"', 'g') || '"}}', ',' ORDER BY pos) AS opts FROM options GROUP BY ALL)
+@query("decision_prompts", f"""WITH {_sql_decisions()}, o AS (SELECT ord, qid, kind, string_agg('{{"label":"' || chr(CAST(65 + pos AS INTEGER)) || '","key":"' || key || '","description":"' || replace(substr(said, length(key) + 2), '"', '\\"') || '"}}', ',' ORDER BY pos) AS opts FROM options GROUP BY ALL)
     SELECT request_id, qid, md5('{{"question":"' || CASE qid {' '.join(f"WHEN '{q}' THEN '{ask}'" for q, (_, ask, _) in TRIAGE.items())} END || '","options":[' || opts || '],"state":' || to_json(state) || '}}') AS prompt_md5 FROM states, o""")
 def decision_prompts(t):
     tasks = requests.with_prompts(requests.accepted(requests.explode_tasks(bodies(t))))
@@ -170,7 +170,7 @@ def sql_functions(t):
     return t.spark.sql("SELECT conv_id, turn, md5(array_join(retrieval_words(text), ' ')) AS words_md5 FROM turns_for_sql")
 
 
-@query("date_mentions_of_orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders")
+@query("date_mentions_of_orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders")
 def date_mentions_of_orders(t):
     text = F.concat(F.lit("Received "), dates.written(F.col("o_orderdate"), F.lit("mdy")), F.lit(" by mail."))
-    return t.orders.select("o_orderkey", F.get(dates.find_dates(text), 0)["date"].alias("d"))
+    return t.orders.select("o_orderkey", F.get(dates.find_dates(text), 0)["date"].cast("string").alias("d"))

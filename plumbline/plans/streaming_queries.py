@@ -16,12 +16,12 @@ def stream_of(t, name: str):
     return jobs.read_stream(t.spark, t.folder, name, getattr(t, name).schema)
 
 
-@query("streamed_latency", """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events
-    GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+@query("streamed_latency", """SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS VARCHAR) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_ms FROM events
+    GROUP BY 1, 2 HAVING any_value(time_bucket(INTERVAL 1 DAY, ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def streamed_latency(t):
     log = stream_of(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     done = jobs.run_to_table(jobs.windowed_latency(log, "ts", "value", ["event_type"], "1 day"), "latency")
-    return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean_ms", 6).alias("mean_ms"))
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("mean_ms", 6).alias("mean_ms"))
 
 
 @query("streamed_new_events", "SELECT DISTINCT user_id FROM events")
