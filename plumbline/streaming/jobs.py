@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions import fixed, text
 from plumbline.operators import leakage, requests, scoring
@@ -77,35 +77,29 @@ def checked_replies(replies: DataFrame, kind: Callable[[Column], Column], suppor
         "_known", "_s", "_j")
 
 
-class LastTurns(StatefulProcessor):
-    """Keeps the `last` newest user turns of a conversation, by turn number, and emits the query text after every
-    change. Late turns take their place by number; state expires after a day without turns."""
-
-    def __init__(self, last: int = 2, ttl_ms: int = 86_400_000):
-        self.last, self.ttl_ms = last, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turns = handle.getListState("turns", "turn int, text string", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {turn: said for turn, said in (self.turns.get() if self.turns.exists() else [])}
-        for batch in rows:
+def live_queries(turns: DataFrame, last: int = 2, ttl_ms: int | None = 86_400_000) -> DataFrame:
+    """The query text of every conversation that got turns: its `last` newest user turns, by turn number, held in keyed
+    state. A late turn takes its place by number; state goes away after `ttl_ms` without turns. A
+    time-out asks for another batch again and again, so a run to the end of the input (availableNow) needs `ttl_ms` None."""
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = dict(zip(*state.get)) if state.exists else {}
+        for batch in batches:
             users = batch[batch["role"] == "user"]
-            held.update(zip(users["turn"].astype(int), users["text"]))
-            held = {t: held[t] for t in sorted(held)[-self.last:]}
-        if held:
-            newest = sorted(held.items())
-            self.turns.put(newest)
-            yield pd.DataFrame({"conv_id": [key[0]], "turn": [newest[-1][0]], "query": [" ".join(s for _, s in newest)]})
-
-    def close(self) -> None:
-        pass
-
-
-def live_queries(turns: DataFrame, last: int = 2) -> DataFrame:
-    """The current query text of every conversation that got turns, from keyed state."""
-    return turns.groupBy("conv_id").transformWithStateInPandas(
-        LastTurns(last), "conv_id bigint, turn int, query string", "append", "processingTime")
+            held.update(zip((int(t) for t in users["turn"]), users["text"]))
+        newest = sorted(held)[-last:]
+        if newest:
+            said = [held[t] for t in newest]
+            state.update((newest, said))
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
+            yield pd.DataFrame({"conv_id": [key[0]], "turn": [newest[-1]], "query": [" ".join(said)]})
+
+    return turns.groupBy("conv_id").applyInPandasWithState(
+        update, "conv_id bigint, turn int, query string", "turns array<int>, texts array<string>", "append",
+        GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:

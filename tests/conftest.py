@@ -12,6 +12,4 @@ def spark(tmp_path_factory):
     from plumbline.session import local_session
     session = local_session("8", memory="6g", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.streaming.stateStore.providerClass",
-                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return session

@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, maths
@@ -18,7 +17,7 @@ def explode(spark, *bodies):
     return requests.explode_tasks(df)
 
 
-@pytest.mark.parametrize("bad, field, message", [
+REJECTED = [
     ("[1, 2]", "body", fixed.ERR_BODY), ("not json", "body", fixed.ERR_BODY),
     (json.dumps({"questions": {"q": NOUL}}), "state", fixed.ERR_STATE),
     (json.dumps({"state": "s"}), "questions", fixed.ERR_QUESTIONS), (body({}), "questions", fixed.ERR_QUESTIONS), (body([NOUL]), "questions", fixed.ERR_QUESTIONS),
@@ -35,12 +34,14 @@ def explode(spark, *bodies):
     (body({"q": {"type": "score", "instructions": "x", "criteria": ["low", {"what": "high", "examples": "e"}]}}), "questions.q.criteria.1", fixed.ERR_EXAMPLES),
     (body({"q": {"type": "choice", "instructions": "x", "criteria": {f"k{i}": "d" for i in range(256)}}}), "questions.q.criteria", fixed.ERR_MANY),
     (body({"ok": NOUL, "q": {"type": "noul"}}), "questions.q.instructions", fixed.ERR_INSTRUCTIONS),
-])
-def test_every_rejection_rule(spark, bad, field, message):
-    rows = explode(spark, bad, body({"q": NOUL}))
-    got = requests.rejected(rows).collect()
-    assert [(r["request_id"], r["field"], r["message"]) for r in got] == [("0", field, message)]
-    assert [r["request_id"] for r in requests.accepted(rows).collect()] == ["1"]
+]
+
+
+def test_every_rejection_rule(spark):
+    rows = explode(spark, *[bad for bad, _, _ in REJECTED], body({"q": NOUL}))
+    got = {r["request_id"]: (r["field"], r["message"]) for r in requests.rejected(rows).collect()}
+    assert got == {str(i): (field, message) for i, (_, field, message) in enumerate(REJECTED)}
+    assert [r["request_id"] for r in requests.accepted(rows).collect()] == [str(len(REJECTED))]
 
 
 def test_tasks_keep_order_shapes_and_examples(spark):
@@ -108,33 +109,31 @@ def test_tournament_in_the_row(spark):
         assert len(r["probs"]) == len(want) and all(abs(a - b) < 1e-9 for a, b in zip(r["probs"], want)), r["id"]
 
 
-def make_client():
-    import math
-
-    def client(rows):
-        out = []
-        for row in rows:
-            z = [math.exp(float(o["description"]) / 20) for o in row["options"]]
-            out.append({"probs": [x / sum(z) for x in z]})
-        return out
-    return client
+def test_tournament_around_an_outside_scorer(spark):
+    def make_client():
+        import math
 
+        def client(rows):
+            out = []
+            for row in rows:
+                z = [math.exp(float(o["description"]) / 20) for o in row["options"]]
+                out.append({"probs": [x / sum(z) for x in z]})
+            return out
+        return client
 
-def test_tournament_around_an_outside_scorer(spark):
     for r in scoring.tournament_with(wide(spark, 2, 9, 65, 255), "id", make_client, ["options"]).collect():
         want = reference_tournament([float(o["description"]) for o in r["options"]])
         assert all(abs(a - b) < 1e-9 for a, b in zip(r["probs"], want)) and len(want) == len(r["probs"]), r["id"]
 
 
-def make_flaky():
-    def client(rows):
-        if any(row["prompt"] == "bad" for row in rows):
-            raise ValueError("no answer")
-        return [{"response": row["prompt"].upper(), "finish_reason": "stop"} for row in rows]
-    return client
-
-
 def test_failed_calls_become_rows(spark):
+    def make_flaky():
+        def client(rows):
+            if any(row["prompt"] == "bad" for row in rows):
+                raise ValueError("no answer")
+            return [{"response": row["prompt"].upper(), "finish_reason": "stop"} for row in rows]
+        return client
+
     df = spark.createDataFrame([("a",), ("bad",), ("c",)], "prompt string").coalesce(1)
     got = {r["prompt"]: (r["response"], r["error"]) for r in scoring.generate_with(df, make_flaky, ["prompt"], attempts=2, pause=0.0).collect()}
     assert got["a"] == ("A", None) and got["c"] == ("C", None) and got["bad"][0] is None and "no answer" in got["bad"][1]

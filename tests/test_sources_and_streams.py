@@ -76,7 +76,7 @@ def stream(spark, folder, batches, schema):
 def test_live_queries_with_a_late_turn(spark, tmp_path):
     schema = "conv_id bigint, turn int, role string, text string"
     batches = [[(1, 1, "user", "a"), (1, 2, "assistant", "x"), (2, 1, "user", "solo")], [(1, 5, "user", "c")], [(1, 3, "user", "b")]]
-    live = jobs.live_queries(stream(spark, tmp_path / "turns", batches, schema))
+    live = jobs.live_queries(stream(spark, tmp_path / "turns", batches, schema), ttl_ms=None)
     out = jobs.run_to_table(live, "live").collect()
     last = {}
     for r in out:
