@@ -9,6 +9,7 @@ from plumbline.functions import fixed, text
 from plumbline.operators import strict
 from plumbline.plans.registry import query
 from plumbline.plans.retrieval_queries import sql_sentences
+from plumbline.session import spread
 
 # RE2 has neither look-behind nor look-ahead: the clock pattern uses ASCII word boundaries and the thousands comma is
 # removed in two passes
@@ -32,12 +33,12 @@ def sql_facts(col: str) -> str:
 
 @query("document_facts", f"SELECT doc_id, array_to_string({sql_facts('text')}, ' | ') AS facts FROM documents")
 def document_facts(t):
-    return t.documents.select("doc_id", F.array_join(F.array_sort(text.exact_facts(F.col("text"))), " | ").alias("facts"))
+    return spread(t.documents).select("doc_id", F.array_join(F.array_sort(text.exact_facts(F.col("text"))), " | ").alias("facts"))
 
 
 @query("page_facts", f"SELECT page_id, array_to_string({sql_facts('html')}, ' | ') AS facts FROM pages")
 def page_facts(t):
-    return t.pages.select("page_id", F.array_join(F.array_sort(text.exact_facts(F.col("html"))), " | ").alias("facts"))
+    return spread(t.pages).select("page_id", F.array_join(F.array_sort(text.exact_facts(F.col("html"))), " | ").alias("facts"))
 
 
 @query("facts_missing_from_pair", f"""WITH f AS (SELECT page_id, {sql_facts('html')} AS facts FROM pages)
