@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact, language, packing, sharding, simhash, toxicity
+from plumbline.llm import bpe, exact, fingerprints, language, licences, packing, scoring, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,18 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder)
     return language.predict(docs, language.train(docs))
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score(table(spark, folder))
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, folder))
+
+
+@query("op8_licences")
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.digest(licences.scan(table(spark, folder)))

@@ -4,7 +4,7 @@ which the two compress each window of a text.
 A window is one word. zstandard finds no match worth its cost in so few bytes, so a window is written out as the 64-bit codes of its
 five-byte pieces, and the dictionaries hold such codes: those of the pieces that set toxic texts apart, and those that ordinary texts
 use most. A toxic word then compresses far better with the first. The best and the number of good windows of a text go through a
-logistic curve that is fitted on labelled rows the dictionaries have not seen.
+logistic curve, which is fitted on labelled rows measured with dictionaries that have not seen them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import fold, texts, utf8
 
 PIECE, PIECES = 5, 4096
-TOXIC_ROWS, ORDINARY_ROWS = 2000, 6000  # bound of the labelled sample; half trains the dictionaries, half the curve
+TOXIC_ROWS, ORDINARY_ROWS = 2000, 6000  # bound of the labelled sample
 CONTRAST, LEAST_ROWS = 12.0, 4  # a piece is toxic if that many times as frequent there, and in that many rows
 GOOD_GAIN = 5
 LEVEL = 3
@@ -138,15 +138,19 @@ def dictionaries(rows: DataFrame) -> tuple[bytes, bytes]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Dictionaries and curve from a bounded labelled sample (see `sample`). With no labels of either kind the score is one
-    constant."""
+    """Dictionaries from a bounded labelled sample (see `sample`), and a curve fitted on either half of it with dictionaries of
+    the other half. With no labels of either kind the score is one constant."""
     rows = sample(docs, labels).cache()
+    flat = (0.0, 0.0, 0.0)
     try:
-        model = Model(*dictionaries(rows.where("half = 0").select("toxic", "text")), (0.0, 0.0, 0.0))
-        seen = rows.where("half = 1").select("toxic", measured(model)("text").alias("m")).select("toxic", "m.*").toPandas()  # bounded as the sample
+        seen = []
+        for half in (0, 1):
+            other = Model(*dictionaries(rows.where(F.col("half") != half).select("toxic", "text")), flat)
+            seen.append(rows.where(F.col("half") == half).select("toxic", measured(other)("text").alias("m")).select("toxic", "m.*").toPandas())  # bounded as the sample
+        both = pd.concat(seen)
+        return Model(*dictionaries(rows.select("toxic", "text")), fitted(both[["best", "good"]].to_numpy(float), both["toxic"].to_numpy(float)))
     finally:
         rows.unpersist()
-    return model._replace(weights=fitted(seen[["best", "good"]].to_numpy(float), seen["toxic"].to_numpy(float)))
 
 
 def score(text: Column, model: Model) -> Column:
