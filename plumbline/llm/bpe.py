@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm.common import slices, texts, utf8
 
-CHUNK_BYTES = 2 << 20
-FRAGMENTS_AT_ONCE = 400_000
-MEMO_ENTRIES, MEMO_BYTES = 1_000_000, 48 << 20
+CHUNK_BYTES = 1 << 20
+FRAGMENTS_AT_ONCE = 200_000
+MEMO_ENTRIES, MEMO_BYTES = 350_000, 24 << 20
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
 APOSTROPHE, NO_UTF8 = 0x27, 0xFF
 
@@ -54,12 +54,22 @@ class Codec:
         for t, i in self.special.items():
             self.token[i] = t
         self.apart = ~inside
-        self.forget()
-
-    def forget(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.memo_bytes = 0
         self.first, self.count, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.hits = np.empty(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the fragments met more than twice since the last time, unless those are most of them."""
+        keep = np.flatnonzero(self.hits > 2)
+        if 2 * len(keep) > len(self.hits):
+            keep = keep[:0]
+        n = self.count[keep]
+        self.flat = self.flat[np.repeat(self.first[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        self.first, self.count, self.hits = np.cumsum(n) - n, n, np.zeros(len(keep), np.int64)
+        names = list(self.memo)  # in the order of their numbers
+        self.memo = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.memo_bytes = sum(map(len, self.memo)) + 4 * len(self.flat)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Whether a fragment starts at each byte: the certain cuts at which splitting into words can't differ either,
@@ -79,6 +89,7 @@ class Codec:
         at = len(self.flat)
         self.first = np.concatenate([self.first, at + np.cumsum(lengths) - lengths])
         self.count = np.concatenate([self.count, lengths])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
         self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.int32, int(lengths.sum()))])
         self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
         self.memo_bytes += sum(map(len, new)) + 4 * int(lengths.sum())
@@ -111,6 +122,7 @@ class Codec:
                 unknown_ones = [fragments[k] for k in unknown.tolist()]
                 self.learn(set(unknown_ones))
                 found[unknown] = self.look_up(unknown_ones)
+            self.hits += np.bincount(found, minlength=len(self.hits))
             n = self.count[found]
             shift = np.repeat(self.first[found] - (np.cumsum(n) - n), n)
             out = self.flat[shift + np.arange(len(shift))]

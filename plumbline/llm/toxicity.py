@@ -28,7 +28,7 @@ LEVEL = 3
 WINDOW_BYTES = 64
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 
 
 class Model(NamedTuple):
