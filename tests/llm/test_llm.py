@@ -133,7 +133,7 @@ def test_shards(spark, none):
     assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
     load = got.groupby("shard")["size"].sum()
     assert len(load) == 8 and load.max() <= 1.02 * load.mean()
-    pairs = got[got.doc_id >= 5000][got.doc_id < 5400]
+    pairs = got[(got.doc_id >= 5000) & (got.doc_id < 5400)]
     assert (pairs.groupby(pairs.doc_id // 2).shard.nunique() == 1).all()
     one = got[got.doc_id == 7].iloc[0]
     assert (one["size"], one.text_crc32) == (len("text 7" * 8) + 16, zlib.crc32(("text 7" * 8).encode()))
