@@ -7,6 +7,7 @@ so each distinct one is encoded once per worker and looked up afterwards.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -18,7 +19,7 @@ from plumbline.llm.common import slices, texts, utf8
 
 CHUNK_BYTES = 1 << 20
 FRAGMENTS_AT_ONCE = 200_000
-MEMO_ENTRIES, MEMO_BYTES = 350_000, 24 << 20
+MEMO_ENTRIES, MEMO_BYTES = 250_000, 16 << 20
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
 APOSTROPHE, NO_UTF8 = 0x27, 0xFF
 
@@ -38,6 +39,7 @@ class Codec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -7,14 +7,25 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows in an Arrow batch of this session: rows hold whole texts, and a task's memory follows the batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """Only doc_id and text, a null text as the empty one. Other columns, whatever their names, stay out."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fold
+from plumbline.llm.common import fold, small_batches
 
 ORDERS, BUCKETS, LANGUAGES = (1, 2, 3), 1 << 14, 256
 FOLDS, HELD_OUT = 3, 1
@@ -57,6 +57,8 @@ def counts(docs: DataFrame) -> DataFrame:
     """lang, bucket, n over all rows that have text and language and aren't held out."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("lang", "text")
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -95,7 +97,9 @@ def train(docs: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.nd
 def language(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
     """(lang_pred, score) of each whole text; `und` and 0 where the text is null or has no letter, or nothing was learned. The
     score is the probability of the language per hundred n-grams of text, so that long texts keep comparable scores."""
-    shared = SparkSession.active().sparkContext.broadcast(model)
+    spark = SparkSession.active()
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -15,10 +15,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fold, texts, utf8
+from plumbline.llm.common import fold, small_batches, texts, utf8
 
 PIECE, PIECES = 5, 4096
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 6000  # bound of the labelled sample
@@ -157,6 +157,7 @@ def score(text: Column, model: Model) -> Column:
     """0 to 1 for each whole text, higher: more likely toxic. Null counts as empty; empty texts have the score of a text
     without any good window."""
     a, b, c = model.weights
+    small_batches(SparkSession.active())
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
