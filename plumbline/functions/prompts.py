@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.binding import let
 from plumbline.functions import fixed
 
 MESSAGE = "struct<role:string,content:string>"
@@ -25,17 +26,23 @@ def json_value(value: Column, is_text: Column) -> Column:
     return F.when(is_text, json_string(value)).otherwise(value)
 
 
+def label_at(i: Column) -> Column:
+    """The label of the option at place `i` from 0: A to Z, then AA, AB, ..., so that no two options share one."""
+    n = len(fixed.LETTERS)
+    one = lambda at: F.substring(F.lit(fixed.LETTERS), at + 1, F.lit(1))
+    return F.when(i < n, one(i)).otherwise(F.concat(one(F.floor(i / n).cast("int") - 1), one(i % n)))
+
+
 def lettered(options: Column, reverse: bool = False) -> Column:
     """Options with letters A, B, ... in the order shown."""
     shown = F.reverse(options) if reverse else options
     return F.transform(shown, lambda o, i: F.struct(
-        F.substring(F.lit(fixed.LETTERS), i + 1, F.lit(1)).alias("label"), o["key"].alias("key"),
+        label_at(i).alias("label"), o["key"].alias("key"),
         o["description"].alias("description")))
 
 
 def letter_of(options: Column, key: Column) -> Column:
-    at = F.array_position(F.transform(options, lambda o: o["key"]), key).cast("int")
-    return F.substring(F.lit(fixed.LETTERS), at, F.lit(1))
+    return let(F.array_position(F.transform(options, lambda o: o["key"]), key).cast("int"), lambda at: F.when(at > 0, label_at(at - 1)).otherwise(""))
 
 
 def _facts_part(facts: Column) -> Column:

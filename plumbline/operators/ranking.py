@@ -87,11 +87,11 @@ def shuffled(df: DataFrame, ids: list[str], seed: int) -> DataFrame:
 
 
 def standings(df: DataFrame, score: str, rank_as: str = "rank") -> DataFrame:
-    """Competition rank by `score`, best first. Ranks are counted over the distinct scores: rows per score are
+    """Competition rank by `score`, best first; rows without a score stay, without a rank. Ranks are counted over the distinct scores: rows per score are
     pre-aggregated in coarse score bands, and the running total over bands (one small row each) gives every band its
     starting rank; only the scores of one band meet in one task."""
     v = F.col(score).cast("double")
-    banded = df.withColumn("_band", F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024))
+    banded = df.filter(v.isNotNull()).withColumn("_band", F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024))
     per_score = banded.groupBy("_band", score).agg(F.count(F.lit(1)).alias("_c"))
     bands = per_score.groupBy("_band").agg(F.sum("_c").alias("_bc"))
     higher = Window.orderBy(F.col("_band").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -99,4 +99,4 @@ def standings(df: DataFrame, score: str, rank_as: str = "rank") -> DataFrame:
     inside = Window.partitionBy("_band").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (per_score.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(starts, "_band")
              .select(score, (F.col("_start") + F.col("_in") + 1).alias(rank_as)))
-    return df.join(ranks, score)
+    return df.join(ranks, score, "left")

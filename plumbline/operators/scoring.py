@@ -28,11 +28,27 @@ def overlap_scorer(state: Column) -> Callable[[Column], Column]:
     return score
 
 
+def rounds_for(most: int, group: int) -> int:
+    """Rounds until one group is left of `most` options."""
+    rounds = 1
+    while group ** rounds < most:
+        rounds += 1
+    return rounds
+
+
+def most_options(df: DataFrame, options: str) -> int:
+    """The largest number of options of any row; a stream can't be asked and may have as many as a request may."""
+    return fixed.MAX_OPTIONS if df.isStreaming else df.agg(F.max(F.size(options))).first()[0] or 1
+
+
 def tournament(df: DataFrame, options: str, score: Callable[[Column], Column], out: str = "probs",
-               group: int = fixed.GROUP_SIZE, rounds: int = 3) -> DataFrame:
+               group: int = fixed.GROUP_SIZE, most: int | None = None) -> DataFrame:
     """Probabilities for any number of options. Options are decided in groups of `group`, each group's winner goes to
     the next round, and an eliminated option keeps its share within its group times the final probability of that
-    group's winner. Everything happens inside the row: three rounds cover 512 options and nothing is shuffled."""
+    group's winner. Everything happens inside the row and nothing is shuffled. `most` is the largest number of options,
+    which is counted if it isn't given; a row with more ends the job instead of losing its probabilities."""
+    rounds = rounds_for(most_options(df, options) if most is None else most, group)
+
     def round_of(opts: Column) -> Column:
         """Groups of `opts` with their probabilities and the place of the winner."""
         groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(opts) - 1) / group).cast("int")),
@@ -46,8 +62,9 @@ def tournament(df: DataFrame, options: str, score: Callable[[Column], Column], o
         return let(round_of(opts), lambda r: let(play(F.transform(r, lambda g: g["winner"]), left - 1), lambda final: maths.normalised(
             F.flatten(F.transform(r, lambda g, i: F.transform(g["p"], lambda v: F.get(final, i) * v / F.element_at(g["p"], g["at"])))))))
 
-    few = F.size(options) <= group
-    return df.withColumn(out, F.when(few, score(F.col(options))).otherwise(play(F.when(~few, F.col(options)), rounds)))
+    few, many = F.size(options) <= group, F.size(options) > group ** rounds
+    played = score(F.col(options)) if rounds == 1 else F.when(few, score(F.col(options))).otherwise(play(F.when(~few & ~many, F.col(options)), rounds))
+    return df.withColumn(out, F.when(many, F.raise_error(F.lit(f"more than {group ** rounds} options")).cast("array<double>")).otherwise(played))
 
 
 def _retry(call, rows: list[dict], attempts: int, pause: float):
@@ -103,13 +120,15 @@ def generate_with(rows: DataFrame, factory, columns: list[str], attempts: int =
 
 
 def tournament_with(tasks: DataFrame, key: str, factory, columns: list[str], group: int = fixed.GROUP_SIZE,
-                    rounds: int = 3) -> DataFrame:
-    """The tournament around an outside scorer: each round scores one row per group (at most 32 per task) and then
-    collects a task's groups again. Every round is written once. `columns` name what the scorer reads; `options` is
-    replaced by the group's options, and worked examples (if any) by those of the group."""
-    parts = tasks.dtypes
-    has_examples = "examples" in dict(parts)
-    current, levels = tasks.withColumn("_n", F.size("options")), []
+                    most: int | None = None, render: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The tournament around an outside scorer: each round scores one row per group of more than one option and then
+    collects a task's groups again; every round is written once. `columns` name what the scorer reads; `options` is
+    replaced by the group's options and worked examples (if any) by those of the group, and `render`, if given, then
+    adds what else the scorer reads, such as the prompt. Adds `probs` and `error`: a task with a failed call goes no
+    further and has the first error instead of probabilities."""
+    rounds = rounds_for(most_options(tasks, "options") if most is None else most, group)
+    has_examples = "examples" in tasks.columns
+    current, out = tasks, tasks.withColumn("error", F.lit(None).cast("string"))
     for r in range(rounds):
         split = current.withColumn("_groups", F.transform(
             F.sequence(F.lit(0), F.floor((F.size("options") - 1) / group).cast("int")),
@@ -119,37 +138,42 @@ def tournament_with(tasks: DataFrame, key: str, factory, columns: list[str], gro
         if has_examples:
             rows = rows.withColumn("examples", F.filter("examples", lambda e: F.exists(
                 "options", lambda o: o["key"] == e["gold"])))
-        scored = score_with(rows, factory, columns)
-        level = (scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "options", "probs"))).alias("_l")))
-        levels.append(level.select(key, F.col("_l").alias(f"_l{r}")))
-        winners = level.select(key, F.transform("_l", lambda s: F.element_at(
+        asked = rows.filter(F.size("options") > 1)
+        scored = score_with(render(asked) if render else asked, factory, columns).select(key, "_at", "options", "probs", "error")
+        alone = rows.filter(F.size("options") == 1).select(
+            key, "_at", "options", F.array(F.lit(1.0)).alias("probs"), F.lit(None).cast("string").alias("error"))
+        level = scored.unionByName(alone).groupBy(key).agg(
+            F.array_sort(F.collect_list(F.struct("_at", "options", "probs"))).alias(f"_l{r}"),
+            F.min_by("error", F.when(F.col("error").isNotNull(), F.col("_at"))).alias("_e"))
+        level = materialise(level, "round")
+        out = out.join(level, key, "left").withColumn("error", F.coalesce("error", "_e")).drop("_e")
+        winners = level.filter(F.col("_e").isNull()).select(key, F.transform(f"_l{r}", lambda s: F.element_at(
             s["options"], maths.first_top(s["probs"]))).alias("options"))
         current = current.drop("options").join(winners, key)
-    out = tasks
-    for level in levels:
-        out = out.join(level, key)
     final = F.array(F.lit(1.0))
     for r in reversed(range(rounds)):
         out = out.withColumn("_final", final if r == rounds - 1 else F.col("_final"))
         out = out.withColumn("_final", maths.normalised(F.flatten(F.transform(f"_l{r}", lambda s, i: F.transform(
             s["probs"], lambda v: F.get(F.col("_final"), i) * v / F.array_max(s["probs"]))))))
-    return out.withColumn("probs", F.col("_final")).select(*tasks.columns, "probs")
+    return out.withColumn("probs", F.when(F.col("error").isNull(), F.col("_final"))).select(*tasks.columns, "probs", "error")
 
 
 def decide(bodies: DataFrame, request_id: str = "request_id", body: str = "body", factory=None,
            prompts: bool = True) -> tuple[DataFrame, DataFrame]:
     """Requests to (answers, rejects). Without `factory` the built-in scorer is used and nothing leaves the JVM except
-    the date finder of the prompt; with it, the outside scorer sees `messages` and `options`."""
+    the date finder of the prompt; with it, the outside scorer sees `messages` and `options` of one
+    group at a time, and a request whose call failed is among the rejects with the error."""
     exploded = requests.explode_tasks(bodies, request_id, body)
     tasks = requests.accepted(exploded, request_id)
-    if prompts or factory is not None:
-        tasks = requests.with_prompts(tasks)
+    refused = requests.rejected(exploded, request_id)
     if factory is None:
-        scored = tournament(tasks, "options", overlap_scorer(F.col("state")))
-    else:
-        keyed = tasks.withColumn("_task", F.concat_ws("/", request_id, "qid"))
-        scored = tournament_with(keyed, "_task", factory, ["messages", "options"]).drop("_task")
-    return requests.answers(scored), requests.rejected(exploded, request_id)
+        asked = requests.with_prompts(tasks) if prompts else tasks
+        return requests.answers(tournament(asked, "options", overlap_scorer(F.col("state")), most=fixed.MAX_OPTIONS)), refused
+    keyed = tasks.withColumn("_task", F.concat_ws("/", request_id, "qid"))
+    scored = tournament_with(keyed, "_task", factory, ["messages", "options"], most=fixed.MAX_OPTIONS, render=requests.with_prompts).drop("_task")
+    failed = scored.filter(F.col("error").isNotNull()).groupBy(request_id).agg(F.min_by(F.struct("qid", "error"), "ord").alias("e")).select(
+        request_id, F.concat(F.lit("questions."), F.col("e.qid")).alias("field"), F.col("e.error").alias("message"))
+    return requests.answers(scored.filter(F.col("error").isNull()).drop("error")), refused.unionByName(failed)
 
 
 def ask(states: DataFrame, state: str, question: str, kind: str, options: list[tuple[str, str]], out: str = "probs"
@@ -157,7 +181,7 @@ def ask(states: DataFrame, state: str, question: str, kind: str, options: list[t
     """One literal question about a text column, decided by the built-in scorer: adds `options` and `probs`."""
     choices = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(d).alias("description")) for k, d in options])
     asked = states.withColumn("kind", F.lit(kind)).withColumn("question", F.lit(question)).withColumn("options", choices)
-    return tournament(asked, "options", overlap_scorer(F.col(state)), out)
+    return tournament(asked, "options", overlap_scorer(F.col(state)), out, most=len(options))
 
 
 def register_functions(spark) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HEADER = r"(?s)^[ \t]*---[ \t]*\n(.*?)(?:^|\n)[ \t]*---[ \t]*(?:\n|$)(.*)$"
+HEADER = r"(?s)^[ \t]*---[ \t]*\n(?:(.*?)\n)??[ \t]*---[ \t]*(?:\n|$)(.*)$"
 META = T.MapType(T.StringType(), T.StructType([T.StructField("text", T.StringType()), T.StructField("items", T.ArrayType(T.StringType()))]))
 _KEY_LINE = re.compile(r"([A-Za-z_][A-Za-z0-9_-]*):[ \t]*(.*)")
 _BLOCK_MARKS = {"", ">", "|", ">-", "|-", ">+", "|+"}
@@ -97,5 +97,6 @@ def load_bundle(spark: SparkSession, root: str, include_deprecated: bool = False
     base = root.rstrip("/")
     files = (spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
              .option("pathGlobFilter", "*.md").load(base).select("_metadata.file_path", F.col("value").alias("text")))
-    inside = F.regexp_replace(F.url_decode("file_path"), "^.*?" + re.escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")
+    plain = F.url_decode(F.replace(F.col("file_path"), F.lit("+"), F.lit("%2B")))  # a plus in a file name is no space
+    inside = F.regexp_replace(plain, "^.*?" + re.escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")
     return documents(parse(files.select(inside.alias("path"), "text")), include_deprecated)
