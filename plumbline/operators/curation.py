@@ -279,19 +279,25 @@ def micro_batches(samples: DataFrame, key: str, length: str, micro: int = 8, poo
 
 
 def distractors(rows: DataFrame, contexts: DataFrame, key: str, doc: str, k: int = 3, seed: int = 0) -> DataFrame:
-    """`k` passages from other documents for each row: (key, rank, doc of the passage, text). Rows meet passages in hash
-    buckets of about eight passages; a row looks into two buckets, so at least `k` others are there for any corpus of
-    a few dozen documents, and no row is compared with the whole corpus."""
-    size = contexts.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 8)).cast("int").alias("_b"))
-    held = contexts.withColumn("_at", draws.pick_index(seed, size.scalar(), F.col(doc), salt="place"))
-    held = held.select(F.col(doc).alias("other"), F.col("text").alias("passage"), "_at")
-    asked = rows.select(key, doc).withColumn("_b", size.scalar())
-    first = draws.pick_index(seed, F.col("_b"), F.col(key), salt="look")
-    asked = asked.withColumn("_at", F.explode(F.array_distinct(F.array(
-        first, F.pmod(first + 1, F.col("_b")), F.pmod(first + 2, F.col("_b")))))).drop("_b")
-    met = asked.join(held, "_at").filter(F.col("other") != F.col(doc))
-    return top_per_group(met, [key], [draws.rank_key(seed, F.col(key), F.col("other")), F.col("other")], k, ["other"]).select(
-        key, "rank", "other", "passage")
+    """`k` passages from other documents for each row: (key, rank, doc of the passage, text); all others where there are fewer.
+    Passages are numbered densely in a hashed order, bucket by bucket; a row draws a place and takes the passages from there
+    on. It looks at as many places more as the longest document has passages, so its own never cost it one."""
+    from pyspark.sql import Window
+    size = contexts.agg(F.count(F.lit(1)).alias("_n"))
+    most = contexts.groupBy(doc).agg(F.count(F.lit(1)).alias("_m")).agg(F.coalesce(F.max("_m"), F.lit(0)).alias("_m"))
+    buckets = F.greatest(F.lit(1), F.floor(size.scalar() / 100_000)).cast("int")
+    held = contexts.select(F.col(doc).alias("other"), F.col("text").alias("passage")).withColumn(
+        "_in", draws.pick_index(seed, buckets, F.col("other"), salt="place"))
+    before = Window.orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.groupBy("_in").agg(F.count(F.lit(1)).alias("_c")).select("_in", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_in").orderBy(draws.rank_key(seed, F.col("other"), salt="place"), "other", "passage")
+    held = held.withColumn("_no", F.row_number().over(within)).join(starts, "_in").withColumn("_at", F.col("_start") + F.col("_no") - 1)
+    asked = rows.select(key, doc).withColumn("_n", size.scalar()).filter("_n > 0")
+    first = F.floor(draws.unit(seed, F.col(key), salt="look") * F.col("_n"))
+    asked = asked.withColumn("_first", first).withColumn("_m", most.scalar()).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.col("_m") + k) - 1))).withColumn("_at", F.pmod(F.col("_first") + F.col("_j"), F.col("_n")))
+    met = asked.join(held.select("_at", "other", "passage"), "_at").filter(F.col("other") != F.col(doc))
+    return top_per_group(met, [key], [F.col("_j")], k, ["other"]).select(key, "rank", "other", "passage")
 
 
 # ---- translations -----------------------------------------------------------------------------------------------------------
@@ -375,7 +381,7 @@ def plan_templates(n: int, families: DataFrame, domains: DataFrame, styles: Data
     out = out.withColumn("n", count).withColumn("k", (4 + F.floor(draws.unit(seed, i, salt="pairs") * 3)).cast("int"))
     held = edits.agg(F.collect_set("edit").alias("_edits"))
     return out.withColumn("_edits", held.scalar()).withColumn("edits", F.slice(draws.shuffle_array(F.array_sort("_edits"), seed, i, lambda e: e), F.lit(1), F.col("k"))
-                          ).withColumn("tid", F.concat(F.lit(f"s{seed}-"), F.lpad(i.cast("string"), 6, "0"))).drop("_edits")
+                          ).withColumn("tid", F.concat(F.lit(f"s{seed}-"), F.when(i < 1_000_000, F.lpad(i.cast("string"), 6, "0")).otherwise(i.cast("string")))).drop("_edits")
 
 
 # ---- training samples -----------------------------------------------------------------------------------------------------------

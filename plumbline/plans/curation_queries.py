@@ -334,22 +334,44 @@ def build_counters(t):
     return curation.build_records(labelled_orders(t), bench)[1]
 
 
-@query("distractor_passages")
+@query("distractor_passages", f"""WITH held AS (SELECT doc_id AS other, count(*) OVER () AS n, {sql_unit('doc_id', salt='place')} AS u, {sql_key('doc_id', salt='place')} AS h FROM documents),
+    placed AS (SELECT other, row_number() OVER (ORDER BY floor(u * greatest(1, n // 100000)), h, other) - 1 AS place FROM held),
+    asked AS (SELECT doc_id, CAST(floor({sql_unit('doc_id', salt='look')} * (SELECT count(*) FROM documents)) AS BIGINT) AS start FROM labels JOIN documents USING (doc_id)),
+    met AS (SELECT doc_id, j, other FROM asked, range(4) r(j) JOIN placed ON place = (start + j) % (SELECT count(*) FROM documents) WHERE other <> doc_id)
+    SELECT doc_id AS "row", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) AS INTEGER) AS rank, other FROM met QUALIFY rank <= 3""")
 def distractor_passages(t):
-    """Three passages from other documents per labelled document (a hashed draw inside hash buckets, so no SQL twin)."""
+    """Three passages from other documents per labelled document (from a hashed place of the hashed order)."""
     rows = t.labels.join(t.documents.select("doc_id"), "doc_id").select("doc_id", F.col("doc_id").alias("row"))
     return curation.distractors(rows, t.documents.select("doc_id", "text"), "row", "doc_id").select("row", "rank", "other")
 
 
-@query("mixed_stream")
+@query("mixed_stream", f"""WITH c AS (SELECT conv_id || '-' || turn AS id, greatest(1, count(*) OVER () // 1000) AS b FROM conversations),
+    held AS (SELECT id, floor({sql_unit('id', salt='at')} * b) AS shelf FROM c),
+    placed AS (SELECT id, shelf, row_number() OVER (PARTITION BY shelf ORDER BY id) - 1 AS nth, count(*) OVER (PARTITION BY shelf) AS n FROM held),
+    slots AS (SELECT CAST(doc_id AS VARCHAR) AS slot, {sql_unit('doc_id', salt='chat')} AS u FROM documents),
+    wanted AS (SELECT slot, floor({sql_unit('slot', '1', salt='bucket')} * (SELECT max(b) FROM c)) AS shelf, {sql_unit('slot', '1', salt='no')} AS v
+        FROM slots WHERE u < CAST(0.25 AS DOUBLE) / (1 - CAST(0.25 AS DOUBLE)))
+    SELECT slot, slot AS sample, 'decision' AS stream FROM slots
+    UNION ALL SELECT slot, id, 'chat' FROM wanted JOIN placed ON wanted.shelf = placed.shelf AND nth = floor(v * n)""")
 def mixed_stream(t):
-    """Documents with a share of conversations mixed in (hashed draws with replacement, so no SQL twin)."""
+    """Documents with a share of conversations mixed in by hashed draws with replacement."""
     decisions = t.documents.select(F.col("doc_id").alias("id"))
     chats = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("id"))
     return curation.mixed_stream(decisions, chats, 0.25)
 
 
-@query("template_plan")
+def sql_ranges(table: str, column: str, weight: str) -> str:
+    return f"(SELECT v, sum(w) OVER (ORDER BY v) AS upto, w, sum(w) OVER () AS total FROM (SELECT {column} AS v, CAST({weight} AS DOUBLE) AS w FROM {table} GROUP BY {column}))"
+
+
+@query("template_plan", f"""WITH i AS (SELECT CAST(i AS BIGINT) AS i FROM range((SELECT count(*) FROM orders)) r(i)),
+    u AS (SELECT i, {', '.join(f"{sql_unit('i', seed='1', salt=s)} AS u_{s}" for s in ('family', 'domain', 'style', 'options', 'pairs'))} FROM i)
+    SELECT 's1-' || CASE WHEN i < 1000000 THEN lpad(CAST(i AS VARCHAR), 6, '0') ELSE CAST(i AS VARCHAR) END AS tid, f.v AS family, d.v AS domain, s.v AS style,
+        CAST(3 + floor(u_options * 3) AS INTEGER) AS n, CAST(4 + floor(u_pairs * 3) AS INTEGER) AS k,
+        CAST(least(4 + floor(u_pairs * 3), (SELECT count(DISTINCT r_name) FROM region)) AS INTEGER) AS n_edits
+    FROM u JOIN {sql_ranges('part', 'p_type', 'count(*)')} f ON u_family * f.total < f.upto AND u_family * f.total >= f.upto - f.w
+    JOIN {sql_ranges('nation', 'n_name', '1')} d ON u_domain * d.total < d.upto AND u_domain * d.total >= d.upto - d.w
+    JOIN {sql_ranges('customer', 'c_mktsegment', '1')} s ON u_style * s.total < s.upto AND u_style * s.total >= s.upto - s.w""")
 def template_plan(t):
     """Template specs, one per order, drawn from parts, nations and market segments as dimensions."""
     families = t.part.groupBy(F.col("p_type").alias("family")).agg(F.count(F.lit(1)).cast("double").alias("weight")).select(

@@ -153,13 +153,20 @@ def language_decisions(t):
     return right.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.share(F.col("correct")), 6).alias("accuracy"))
 
 
-@query("command_guard")
+GUARD_POLICY = [("run", "Read-only or easily reversible commands on non-production systems."), ("ask_human", "Commands that change real data or configuration but can be undone."),
+                ("block", "Destructive or irreversible commands on production, or anything that exfiltrates secrets.")]
+SQL_POLICY = ", ".join("(" + str(i) + f", '{k}', '{k.replace('_', ' ')} {d}')" for i, (k, d) in enumerate(GUARD_POLICY))
+
+
+@query("command_guard", f"""WITH policy AS (SELECT i, k, {sql_retrieval_words('d')} AS o FROM (VALUES {SQL_POLICY}) v(i, k, d)),
+    seen AS (SELECT page_id, {sql_retrieval_words('state')} AS w FROM (SELECT page_id, 'Command: curl ' || url || ' on production' AS state FROM pages)),
+    shared AS (SELECT page_id, i, k, exp(len(list_distinct(list_intersect(w, o)))) AS e FROM seen, policy),
+    probs AS (SELECT page_id, i, k, e / sum(e) OVER (PARTITION BY page_id) AS p FROM shared)
+    SELECT page_id, arg_min(k, (-p, i)) AS choice, round(greatest(0, 1 + sum(p * ln(p)) / ln(3)), 4) AS confidence FROM probs GROUP BY page_id""")
 def command_guard(t):
     """Every page address as a proposed command: run, ask a person, or block."""
-    policy = [("run", "Read-only or easily reversible commands on non-production systems."), ("ask_human", "Commands that change real data or configuration but can be undone."),
-              ("block", "Destructive or irreversible commands on production, or anything that exfiltrates secrets.")]
     rows = t.pages.select("page_id", F.concat(F.lit("Command: curl "), "url", F.lit(" on production")).alias("state"))
-    done = requests.answers(scoring.ask(rows, "state", "How should this proposed agent command be handled?", "choice", policy))
+    done = requests.answers(scoring.ask(rows, "state", "How should this proposed agent command be handled?", "choice", GUARD_POLICY))
     return done.select("page_id", "choice", "confidence")
 
 

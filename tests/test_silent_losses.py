@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import maths, prompts
-from plumbline.operators import ranking, scoring
+from plumbline.operators import curation, ranking, scoring
 from plumbline.sources import bundle
 from test_decisions import wide
 
@@ -81,3 +81,12 @@ def test_small_tasks_are_asked_once(spark):
 
     scoring.tournament_with(wide(spark, 2, 3, 5), "id", make_client, ["options"], most=255).collect()
     assert calls.value == 3
+
+
+def test_distractors_are_never_fewer_than_asked(spark):
+    contexts = spark.createDataFrame([(1, f"own {i}") for i in range(6)] + [(d, f"text {d}") for d in range(2, 6)], "doc long, text string")
+    rows = spark.createDataFrame([(r, 1 + r % 5) for r in range(40)], "row long, doc long")
+    got = curation.distractors(rows, contexts, "row", "doc", 3).collect()
+    assert len(got) == 120 and all(g["other"] != 1 + g["row"] % 5 for g in got)
+    assert curation.distractors(rows, contexts.limit(0), "row", "doc", 3).count() == 0
+    assert curation.distractors(rows.filter("doc = 1"), contexts, "row", "doc", 9).count() == 8 * 4  # all others
