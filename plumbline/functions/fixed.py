@@ -142,9 +142,10 @@ HEADLINE_METRICS = [
 MAX_FACTS = 6
 EN_MONTH = (r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?"
             r"|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?")
-EN_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
-YEAR = r"((?:19|20)\d\d)"
+EN_DAY = r"(\p{Nd}{1,2})(?:st|nd|rd|th)?"
+YEAR = r"((?:19|20)\p{Nd}\p{Nd})"
 NATIVE_DIGIT = "[0-9٠-٩۰-۹०-९০-৯]"
+NOT_AFTER_WORD, NOT_BEFORE_WORD = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 OTHER_MONTHS = {
     # Spanish, Portuguese, Italian
     "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9,
@@ -174,3 +175,17 @@ OTHER_MONTHS = {
     "জানুয়ারি": 1, "ফেব্রুয়ারি": 2, "মার্চ": 3, "এপ্রিল": 4, "মে": 5, "জুন": 6, "জুলাই": 7, "আগস্ট": 8,
     "সেপ্টেম্বর": 9, "অক্টোবর": 10, "নভেম্বর": 11, "ডিসেম্বর": 12,
 }
+OTHER_MONTH = "(" + "|".join(sorted(OTHER_MONTHS, key=lambda w: (-len(w), w))) + ")"
+OTHER_DAY = rf"{NOT_AFTER_WORD}({NATIVE_DIGIT}{{1,2}})(?:er)?\.?(?U:\s)(?:de(?U:\s))?"
+OTHER_YEAR = rf"(?:(?U:\s)(?:de(?U:\s)|del(?U:\s))?|,(?U:\s)?)({NATIVE_DIGIT}{{4}}){NOT_BEFORE_WORD}"
+# written forms in order of priority, with what the groups hold: year, month (number), english or other (month name), day
+DATE_FORMS = [
+    (rf"{NOT_AFTER_WORD}{YEAR}-(\p{{Nd}}\p{{Nd}})-(\p{{Nd}}\p{{Nd}}){NOT_BEFORE_WORD}", ("year", "month", "day")),
+    (rf"{NOT_AFTER_WORD}{EN_MONTH} {EN_DAY},? {YEAR}{NOT_BEFORE_WORD}", ("english", "day", "year")),
+    (rf"{NOT_AFTER_WORD}{EN_DAY} {EN_MONTH},? {YEAR}{NOT_BEFORE_WORD}", ("day", "english", "year")),
+    (rf"{NOT_AFTER_WORD}{EN_MONTH} {EN_DAY}{NOT_BEFORE_WORD}(?!,? (?:19|20)\p{{Nd}}\p{{Nd}})(?!:)", ("english", "day")),
+    (rf"(?iu){OTHER_DAY}{OTHER_MONTH}\.?{OTHER_YEAR}", ("day", "other", "year")),
+    (rf"({NATIVE_DIGIT}{{4}})(?U:\s)?[年년](?U:\s)?({NATIVE_DIGIT}{{1,2}})(?U:\s)?[月월](?U:\s)?({NATIVE_DIGIT}{{1,2}})(?U:\s)?[日일]", ("year", "month", "day")),
+    (rf"(?iu){OTHER_DAY}{OTHER_MONTH}{NOT_BEFORE_WORD}(?!\.?{OTHER_YEAR})", ("day", "other")),
+    (rf"{NOT_AFTER_WORD}({NATIVE_DIGIT}{{1,2}})(?U:\s)?[月월](?U:\s)?({NATIVE_DIGIT}{{1,2}})(?U:\s)?[日일]", ("month", "day")),
+]

@@ -160,9 +160,8 @@ def tournament_with(tasks: DataFrame, key: str, factory, columns: list[str], gro
 
 def decide(bodies: DataFrame, request_id: str = "request_id", body: str = "body", factory=None,
            prompts: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Requests to (answers, rejects). Without `factory` the built-in scorer is used and nothing leaves the JVM except
-    the date finder of the prompt; with it, the outside scorer sees `messages` and `options` of one
-    group at a time, and a request whose call failed is among the rejects with the error."""
+    """Requests to (answers, rejects). Without `factory` the built-in scorer is used and nothing leaves the JVM;
+    with it, the outside scorer sees `messages` and `options` of one group at a time, and a request whose call failed is among the rejects with the error."""
     exploded = requests.explode_tasks(bodies, request_id, body)
     tasks = requests.accepted(exploded, request_id)
     refused = requests.rejected(exploded, request_id)
@@ -187,13 +186,13 @@ def ask(states: DataFrame, state: str, question: str, kind: str, options: list[t
 def register_functions(spark) -> None:
     """SQL functions. Native, inlined by the optimizer: retrieval_words(text), confidence(probs),
     option_probs(words of the state, options), decide(state, options), yes_no(state, yes, no), rate(state, levels), where
-    options is an array of (key, description). Over an Arrow helper: date_mentions(text)."""
+    options is an array of (key, description), date_mentions(text)."""
     stop = ", ".join("'" + w + "'" for w in fixed.STOP_WORDS)
     define = "CREATE OR REPLACE TEMPORARY FUNCTION "
     spark.sql(define + """confidence(p ARRAY<DOUBLE>) RETURNS DOUBLE RETURN
         CASE WHEN size(p) > 1 THEN round(greatest(0D, 1 - aggregate(p, 0D, (a, x) -> a + CASE WHEN x > 0
         THEN -x * ln(x) ELSE 0D END) / ln(size(p))), 4) ELSE 1D END""")
-    spark.udf.register("date_mentions", dates._find)
+    spark.sql(define + f"date_mentions(t STRING) RETURNS ARRAY<{dates.MENTION}> RETURN " + dates.mentions_sql("t"))
     option = "ARRAY<STRUCT<key: STRING, description: STRING>>"
     words = f"""flatten(transform(regexp_extract_all(lower(<text>), r'{text.RUN}', 0), w -> CASE
         WHEN w RLIKE r'{fixed.NO_SPACE_CLASS}' THEN

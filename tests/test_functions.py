@@ -141,3 +141,19 @@ def test_prompts(spark):
     assert one(spark, prompts.knowledge_of(grounded)) == "[1] p one\n\n[2] p two"
     assert one(spark, prompts.knowledge_of(turns)) is None
     assert one(spark, prompts.summary_messages(F.lit("T"), F.lit("dates")))[0]["content"].endswith(" Focus on: dates.\n\nT")
+
+
+def test_dates_of_many_languages_and_forms_that_compete(spark):
+    def found(body):
+        return [(m["pos"], m["surface"], m["date"] and str(m["date"]), m["month"], m["day"]) for m in one(spark, dates.find_dates(F.col("t")), t=body)]
+
+    assert found("am 1. MÄRZ 2026 und 1er août") == [(3, "1. MÄRZ 2026", "2026-03-01", None, None), (20, "1er août", None, 8, 1)]
+    assert found("٣ مارس ٢٠٢٦") == [(0, "٣ مارس ٢٠٢٦", "2026-03-03", None, None)]
+    assert found("2026년 5월 1일, 3월 2일") == [(0, "2026년 5월 1일", "2026-05-01", None, None), (13, "3월 2일", None, 3, 2)]
+    assert found("5 мая 2026, 31 ноября 2026") == [(0, "5 мая 2026", "2026-05-05", None, None)]
+    # a form is read with what stands around it, also when that belongs to another mention
+    assert found("May 1, 2026-05-02") == [(7, "2026-05-02", "2026-05-02", None, None)]
+    assert found("May 12:00 Sept. 3 1 Dec., 2026") == [(10, "Sept. 3", None, 9, 3), (18, "1 Dec., 2026", "2026-12-01", None, None)]
+    assert found("3 mars 2150 x2026-01-09 2026-13-01 2026-01-05") == [(36, "2026-01-05", "2026-01-05", None, None)]
+    assert found("") == [] and one(spark, dates.find_dates(F.col("t")), t="no digit, March") == []
+    assert one(spark, F.size(dates.find_dates(F.col("t"))), t="on 2026-01-02 or May 3, " * 2000) == 4000
