@@ -94,3 +94,24 @@ def ruling_pairs(t):
     ruled = rulings.rule(line_cases(t), rulings.policy_table(t.spark), F.col("days"))
     per = ruled.groupBy("l_orderkey", "family").agg((F.min("ruling") != F.max("ruling")).alias("differ"))
     return per.groupBy("family").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("differ").alias("contrastive"))
+
+
+GERMAN = ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"]
+FRENCH = ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]
+SPANISH = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
+
+
+@query("dates_in_languages", f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, day(o_orderdate) AS n, month(o_orderdate) AS m, year(o_orderdate) AS y FROM orders)
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN n || '. ' || ({GERMAN})[m] || ' ' || y WHEN 1 THEN n || ' ' || ({FRENCH})[m] || ' ' || y
+        WHEN 2 THEN n || ' de ' || ({SPANISH})[m] || ' de ' || y ELSE y || '年' || m || '月' || n || '日' END AS surface, CAST(d AS VARCHAR) AS d FROM o WHERE o_orderkey % 4 <> 0 OR m NOT IN (4, 8, 9, 11)""")
+def dates_in_languages(t):
+    """Order dates written in German, French, Spanish and Japanese, found again in a sentence. Month names that are also
+    English are known in the English forms alone, which have no dot after the day, so four German months aren't found."""
+    n, m, y = F.dayofmonth("o_orderdate").cast("string"), F.month("o_orderdate"), F.year("o_orderdate").cast("string")
+    name = lambda names: F.get(F.array(*[F.lit(x) for x in names]), m - 1)
+    said = F.get(F.array(F.concat(F.lit("Bestellt am "), n, F.lit(". "), name(GERMAN), F.lit(" "), y, F.lit(", 3 Kisten.")),
+                         F.concat(F.lit("Commande du "), n, F.lit(" "), name(FRENCH), F.lit(" "), y, F.lit(", 12 pièces.")),
+                         F.concat(F.lit("Pedido el "), n, F.lit(" de "), name(SPANISH), F.lit(" de "), y, F.lit(".")),
+                         F.concat(F.lit("注文日"), F.lit(" "), y, F.lit("年"), m.cast("string"), F.lit("月"), n, F.lit("日"))), (F.col("o_orderkey") % 4).cast("int"))
+    found = t.orders.select("o_orderkey", F.explode(dates.find_dates(said)).alias("f"))
+    return found.select("o_orderkey", "f.surface", F.col("f.date").cast("string").alias("d"))
