@@ -2,7 +2,8 @@
 left that still holds them, found in a balanced tree; the capacity is the smallest at which the wanted number of shards is enough.
 
 Groups that are small beside a shard are first put together, by the hash of their key, into parcels, which are then the indivisible
-items; larger groups are items of their own. So there are at most `parcels` + a few thousand items, whatever the input.
+items; larger groups are items of their own, and only those that no shard can hold are cut. So there are at most `parcels` + a few
+thousand items, whatever the input.
 """
 
 from __future__ import annotations
@@ -94,15 +95,15 @@ def fewest(sizes: list[int], shards: int) -> list[int]:
 def shard(docs: DataFrame, shards: int = SHARDS, parcels: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard (from 0), slot (from 0 in its shard, without holes): shards of near equal bytes.
 
-    Rows of equal texts stay in one shard unless they are more than a 64th of one: such a group is cut by doc_id into chunks of
-    that size. A null text counts as empty. Repeated rows each get a slot. An empty table gives no rows."""
+    Rows of equal texts stay in one shard unless they are more bytes than a shard's even share: such a group is cut by doc_id into
+    chunks of a 64th of it. A null text counts as empty. Repeated rows each get a slot. An empty table gives no rows."""
     parcels = parcels or shards * PARCELS_PER_SHARD
     text = F.coalesce(docs["text"], F.lit(""))
     rows = materialise(docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_key")), "rows")
     total, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
-    part = max(1, (total or 0) // (shards * 64))
+    whole, part = -(-(total or 0) // shards), max(1, (total or 0) // (shards * 64))
     large = (rows.groupBy("_key").agg(F.sum("size").alias("_group")).where(F.col("_group") > part)  # fewer than shards * 64 rows
-             .select("_key", F.ceil(F.col("_group") / part).alias("_chunks")))
+             .select("_key", F.when(F.col("_group") > whole, F.ceil(F.col("_group") / part)).otherwise(1).alias("_chunks")))
     parcel = F.concat(F.lit("p"), bucket(["_key"], parcels).cast("string"))
     chunk = F.concat_ws(":", F.hex("_key"), F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.col("_chunks")).cast("string"))
     items = rows.join(F.broadcast(large), "_key", "left").withColumn("_item", F.when(F.col("_chunks").isNull(), parcel).otherwise(chunk)).drop("_chunks")

@@ -140,6 +140,18 @@ def test_shards(spark, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_groups_that_fit_into_a_shard_stay_whole(spark):
+    group = lambda first, n, line, times: [(i, line * times) for i in range(first, first + n)]
+    data = [(i, f"text {i}" * (1 + i % 30)) for i in range(3000)] + group(5000, 800, "more than a shard ", 10)
+    data += [row for k in range(20) for row in group(10_000 + 10 * k, 2 + k % 3, f"large {k} ", 300)]  # each several parts of a shard, none a whole one
+    got = sharding.shard(spark.createDataFrame(data, "doc_id long, text string"), 8).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == len(data) and len(load) == 8 and load.max() <= 1.02 * load.mean()
+    groups = got.groupby("text_crc32").agg(n=("size", "sum"), shards=("shard", "nunique"))
+    assert ((groups.n > load.mean() / 64) & (groups.n <= load.mean())).sum() >= 20
+    assert (groups[groups.n <= load.mean()].shards == 1).all() and (groups[groups.n > load.mean()].shards > 1).sum() == 1
+
+
 # ---- exact duplicates --------------------------------------------------------------------------------------------------
 
 def normalised(t):
