@@ -24,8 +24,8 @@ def digest(text: Column) -> Column:
 def copies(docs: DataFrame, winners: int = WINNERS, tracked: int = TRACKED) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row. Of equal texts the row with the smallest doc_id stays (null
     ids come last); of rows with equal ids too, one stays. Null and empty texts are equal. Other columns are left out."""
-    keyed = materialise(docs.select("doc_id", digest(docs["text"]).alias("text_sha256")), "digests").withColumn("_row", F.monotonically_increasing_id())
-    # the ids follow the files and splits of a written table; each task of a stage that is run again gets the same ones
+    keyed = materialise(docs.select("doc_id", digest(docs["text"]).alias("text_sha256"), F.monotonically_increasing_id().alias("_row")), "digests")
+    # the numbers are written, not made anew by each job: they follow splits, and those the cores that are alive at the time
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     candidates = keyed.select(F.expr(f"approx_top_k(text_sha256, {winners}, {tracked})").alias("top")).select(F.explode("top.item").alias("text_sha256"))
     heavy = (keyed.join(F.broadcast(candidates), "text_sha256", "left_semi")  # at most `winners` rows

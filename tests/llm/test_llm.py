@@ -175,6 +175,22 @@ def test_copies(spark, docs, none):
     assert exact.copies(none).count() == 0 and exact.deduplicate(none).count() == 0
 
 
+def test_copies_when_splits_change_between_jobs(spark):
+    data = [(i, f"hot {i % 20}" if i < 2000 else f"t{i}") for i in range(3000)]
+    random.Random(8).shuffle(data)
+    keys = ["spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"]
+    try:
+        spark.conf.set(keys[1], "1")
+        spark.conf.set(keys[0], "1")
+        got = exact.copies(spark.createDataFrame(data, "doc_id long, text string").repartition(6))  # the winners are written, the rest isn't planned yet
+        spark.conf.set(keys[0], "64")
+        kept = [r["doc_id"] for r in got.where("kept").collect()]
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert sorted(kept) == [*range(20), *range(2000, 3000)]
+
+
 # ---- SimHash -----------------------------------------------------------------------------------------------------------
 
 def brute_fingerprint(t):
