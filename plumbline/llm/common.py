@@ -23,10 +23,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """Only doc_id and text, a null text as the empty one. Other columns, whatever their names, stay out."""
+def texts(docs: DataFrame, *also: str) -> DataFrame:
+    """Only doc_id, text, a null text as the empty one, and `also`. Other columns, whatever their names, stay out."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
+    return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), *also)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

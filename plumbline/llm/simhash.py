@@ -45,16 +45,18 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) for every row."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, fp (long) for every row, and the columns `also`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, CHUNK_BYTES):
                 fps = [fingerprint(data[offsets[i]:offsets[i + 1]].tobytes()) for i in range(a, b)]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+                kept = [batch.column(k).slice(a, b - a) for k in (0, *range(2, batch.num_columns))]
+                yield pa.record_batch([kept[0], pa.array(fps, pa.int64()), *kept[1:]], ["doc_id", "fp", *also])
 
-    return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
+    return texts(docs, *also).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long{kinds}")
 
 
 def signed(x: int) -> int:
@@ -170,22 +172,29 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def firsts(rows: DataFrame, *order: str) -> DataFrame:
+    """fp, root, least for every fingerprint: one root per component, and the component's smallest struct of (id is null, *order)."""
+    points = materialise(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *order)).alias("first")), "points")
+    found = components(links(points, points.count()))
+    inside = found.select(F.col("node").alias("fp"), "root").union(found.select("root", "root").distinct())
+    member = points.join(inside, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    return member.join(member.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "root", "least")
+
+
 def group(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest doc_id that links of `BITS` or fewer differing bits reach. Null and
     empty texts have fingerprint 0 and are linked like any other; rows with equal texts are in one component. Null ids are
     never the smallest unless alone."""
     rows = materialise(fingerprints(docs), "fingerprints")
-    points = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    found = components(links(points, points.count()))
-    inside = found.select(F.col("node").alias("fp"), "root").union(found.select("root", "root").distinct())
-    member = inside.join(points, "fp")
-    classes = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    classes = points.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(firsts(rows, "doc_id"), "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that stay: of each component the row with the smallest doc_id (one, if ids repeat)."""
-    stay = group(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("_id"))
-    return rows.join(stay, rows["_id"].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["_id"]).select("_doc.*")
+    """The rows of `docs`, all columns, that stay: of each component the row with the smallest doc_id (null ids come last; of rows
+    with equal ids that with the smallest SHA-256 of its text, and one if texts are equal too)."""
+    sha = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    rows = materialise(fingerprints(docs.select("doc_id", "text", sha.alias("digest")), "digest"), "fingerprints")
+    stay = firsts(rows, "doc_id", "digest").select("root", F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_sha")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("_id"), sha.alias("_sha"))
+    same = rows["_id"].eqNullSafe(stay["_id"]) & (rows["_sha"] == stay["_sha"])
+    return rows.join(stay, same, "left_semi").dropDuplicates(["_id", "_sha"]).select("_doc.*")

@@ -223,6 +223,14 @@ def test_components(docs, none):
     assert simhash.group(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def test_rows_that_stay_are_told_apart_by_text(spark):
+    r = random.Random(9)
+    other = [" ".join(r.choices([f"v{i}" for i in range(500)], k=60)) for _ in range(8)]  # no two alike
+    data = [(None, other[0]), (None, other[1]), (None, other[2]), (1, other[2]), (2, other[3]), (2, other[4]), (3, other[5]), (3, other[5]), (3, f" {other[5]}"), (4, None), (None, other[6]), (None, other[6])]
+    kept = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter((k["doc_id"], (k["text"] or "").strip()) for k in kept) == Counter([(None, other[0]), (None, other[1]), (1, other[2]), (2, other[3]), (2, other[4]), (3, other[5]), (4, ""), (None, other[6])])
+
+
 @pytest.mark.parametrize("crowd", [20_000, 12])
 def test_every_link_is_found(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)
