@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of (language, n-gram bucket) are summed over all labelled rows that are not held out; the log-probability matrix, languages x
-buckets, is a broadcast variable, and texts are scored in numpy by adding up the matrix rows of their n-grams, each as often as it occurs.
+buckets, is cut by languages into blocks of bounded size, each a broadcast variable, and texts are scored in numpy by adding up the
+matrix rows of their n-grams, each as often as it occurs.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ ORDERS, BUCKETS, LANGUAGES = (1, 2, 3), 1 << 14, 256
 FOLDS, HELD_OUT = 3, 1
 SMOOTHING, CHUNK_BYTES = 0.5, 1 << 20
 UNKNOWN, LEAST_SCORE = "und", 0.5
+Model = tuple[list[str], list[np.ndarray]]
 
 
 def lowered(text: str) -> np.ndarray:
@@ -79,37 +81,42 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """The learned languages and their log-probabilities, float32 [buckets, languages]; the last row is the prior. At most
-    `languages`, those with the most n-grams: 16 MB for 256."""
+def train(docs: DataFrame, languages: int = LANGUAGES) -> Model:
+    """All learned languages, those with the most n-grams first, and their log-probabilities, float32 [buckets, languages], in
+    blocks of `languages`: 16 MB for 256."""
     summed = counts(docs).cache()
     try:
-        names = [r["lang"] for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-        got = summed.where(F.col("lang").isin(names)).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).collect() if names else []
+        names = [r["lang"] for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+        return names, [block(summed, names[a:a + languages]) for a in range(0, len(names), languages)]
     finally:
         summed.unpersist()
+
+
+def block(summed: DataFrame, names: list[str]) -> np.ndarray:
+    got = summed.where(F.col("lang").isin(names)).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).collect()
+    at = {name: i for i, name in enumerate(names)}
     matrix = np.full((BUCKETS, len(names)), SMOOTHING)
     for r in got:
-        matrix[[c["bucket"] for c in r["c"]], names.index(r["lang"])] += [c["n"] for c in r["c"]]
-    return names, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
+        matrix[[c["bucket"] for c in r["c"]], at[r["lang"]]] += [c["n"] for c in r["c"]]
+    return np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
 
 
-def language(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
+def language(text: Column, model: Model) -> Column:
     """(lang_pred, score) of each whole text; `und` and 0 where the text is null or has no letter, or nothing was learned. The
     score is the probability of the language per hundred n-grams of text, so that long texts keep comparable scores."""
     spark = SparkSession.active()
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    names, blocks = spark.sparkContext.broadcast(model[0]), [spark.sparkContext.broadcast(b) for b in model[1]]
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names, matrix = shared.value
+        matrices = [b.value for b in blocks]
         for batch in batches:
-            yield pd.DataFrame([scored(t, names, matrix) for t in batch], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
+            yield pd.DataFrame([scored(t, names.value, matrices) for t in batch], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
     return run(text)
 
 
-def scored(text: str | None, names: list[str], matrix: np.ndarray) -> tuple[str, float]:
+def scored(text: str | None, names: list[str], matrices: list[np.ndarray]) -> tuple[str, float]:
     codes = lowered(text or "")
     if not names or not (codes != 32).any():
         return UNKNOWN, 0.0
@@ -117,17 +124,18 @@ def scored(text: str | None, names: list[str], matrix: np.ndarray) -> tuple[str,
     for piece in windows(codes):
         found = np.bincount(grams(piece), minlength=BUCKETS)
         some = np.flatnonzero(found)  # the text as a sparse vector
-        total += found[some].astype(np.float32) @ matrix[some]
+        weights = found[some].astype(np.float32)
+        total += np.concatenate([weights @ matrix[some] for matrix in matrices])
         n += int(found.sum())
     best = int(total.argmax())
     return names[best], float(1 / np.exp((total - total[best]) / max(1.0, n / 100)).sum())
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     return docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), language(docs["text"], model).alias("l")).select("doc_id", "held_out", "l.*")
 
 
-def known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = LEAST_SCORE) -> DataFrame:
+def known(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs`, all columns, whose language is recognised with at least that score."""
     return docs.where(language(docs["text"], model)["score"] >= least)

@@ -364,6 +364,19 @@ def test_languages(spark, docs, none):
     assert [r["lang_pred"] for r in language.predict(docs.where("doc_id = 13"), language.train(none)).collect()] == ["und"]
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(10)
+    lines = {f"l{k}": [chr(0x100 + 26 * k + j) * 3 for j in range(20)] for k in range(7)}  # l0 is the most frequent, l6 the rarest
+    data = [(100 * k + i, " ".join(r.choices(words, k=12)), lang) for k, (lang, words) in enumerate(lines.items()) for i in range(30 - 3 * k)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    names, blocks = model = language.train(docs, 3)
+    assert sorted(names) == list(lines) and [b.shape for b in blocks] == [(language.BUCKETS, 3), (language.BUCKETS, 3), (language.BUCKETS, 1)]
+    _, (whole,) = language.train(docs)
+    assert np.array_equal(np.concatenate(blocks, axis=1), whole)
+    got = language.predict(docs, model).join(docs, "doc_id").where("held_out").collect()
+    assert {g["lang"] for g in got} == set(lines) and all(g["lang_pred"] == g["lang"] for g in got)
+
+
 def test_counts_beside_a_dictionary():
     codes = language.lowered("Ab, é9")
     assert "".join(map(chr, codes)) == " ab é "
