@@ -6,10 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import draws
+from plumbline.session import materialise
 
 SALTS = 64
 
 
+def positions(df: DataFrame, order: list[str | Column], out: str = "position", keys: list[str] | None = None) -> DataFrame:
+    """`out` (long): each row's position from 0 in `order`, counted within `keys` when there are any. No task sorts more than its range:
+    rows are dealt by ranges of (keys, order), each range is numbered where it lies, and the rows of earlier ranges are added
+    as a prefix sum over one small row per range (and key). The numbers are written once, so that later jobs see the same. Rows that
+    agree in the whole order are numbered in any order; nulls come first."""
+    by = keys or []
+    dealt = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    rows = materialise(dealt.withColumn("_at", F.monotonically_increasing_id()), "positions").withColumn("_range", F.shiftright("_at", 33))
+    runs = rows.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # without keys: a row per range
+    shift = runs.select(*[F.col(k).alias(f"_of_{k}") for k in by], F.col("_range").alias("_of_range"),
+                        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_range") == F.col("_of_range")
+    for k in by:
+        same = same & rows[k].eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(shift if by else F.broadcast(shift), same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, salt_on: list[str],
                   rank_as: str = "rank") -> DataFrame:
     """The first `k` rows of each group in `order`, with their rank. Each group is first cut to `k` rows in every
