@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, text
 from plumbline.functions.binding import let
-from plumbline.session import broadcast_if_small, fits, spread
+from plumbline.operators.bloom import may_hold
+from plumbline.session import broadcast_if_small, fresh_path, materialise, spread
 
 
 def text_pool(*parts: tuple[DataFrame, str]) -> DataFrame:
@@ -40,40 +44,66 @@ def _whole(word_array: str) -> list:
     return [F.xxhash64(word_array).alias("w1"), F.xxhash64(F.lit("text"), word_array).alias("w2")]
 
 
+KEY = ["h", "k", "whole"]
+
+
 def _keys(worded: DataFrame, n: int, *keep: str) -> DataFrame:
-    """(keep, grams, h, whole): one row per distinct shingle and one for the whole text."""
-    parts = worded.select(*keep, text.fingerprints(F.col("_words"), n).alias("_g"), F.xxhash64(F.lit("text"), "_words").alias("_t"))
-    rows = F.concat(F.transform("_g", lambda h: F.struct(h.alias("h"), F.lit(False).alias("whole"))),
-                    F.array(F.struct(F.col("_t").alias("h"), F.lit(True).alias("whole"))))
+    """(keep, grams, h, k, whole): a row per shingle, repeats included, and one for the whole text. Two hashes name a shingle."""
+    hashed = F.transform(text.shingles(F.col("_words"), n), lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit("second"), g).alias("k"), F.lit(False).alias("whole")))
+    counted = let(hashed, lambda p: F.struct(F.size(F.array_distinct(F.transform(p, lambda s: s["h"]))).cast("bigint").alias("grams"), p.alias("keys")))
+    whole = F.struct(F.xxhash64(F.lit("text"), "_words").alias("h"), F.xxhash64(F.lit("second text"), "_words").alias("k"), F.lit(True).alias("whole"))
+    parts = worded.select(*keep, counted.alias("_f"), F.array(whole).alias("_t"))
     # the outer form keeps the optimizer from testing the array for emptiness, which would build it twice
-    return parts.select(*keep, F.size("_g").cast("bigint").alias("grams"), F.explode_outer(rows).alias("k")).select(
-        *keep, "grams", "k.h", "k.whole")
+    return parts.select(*keep, "_f.grams", F.explode_outer(F.concat("_f.keys", "_t")).alias("_k")).select(*keep, "grams", *[f"_k.{c}" for c in KEY])
+
+
+def pool_keys(pool: DataFrame, n: int = fixed.LEAK_WORDS, test: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(h, k, whole): the distinct shingles and whole texts of a pool, of those that `test` lets through."""
+    keys = _keys(_worded(pool), n).select(*KEY)
+    return (keys.where(test(F.col("h"))) if test else keys).distinct()
+
+
+def store_pool(pool: DataFrame, n: int = fixed.LEAK_WORDS, buckets: int | None = None) -> DataFrame:
+    """The pool's keys as a table bucketed by key, written once. Whoever joins it on the key shuffles their own side only, and the
+    pool's texts are not read again. There are as many buckets as shuffle partitions at least, else the planner would
+    deal the pool anew."""
+    spark, name = pool.sparkSession, f"leakage_pool_{uuid.uuid4().hex}"
+    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (pool_keys(pool, n).repartition(buckets, *KEY).write.bucketBy(buckets, *KEY).sortBy("h").format("parquet")
+     .option("path", fresh_path(spark, "leakage_pool")).saveAsTable(name))
+    return spark.table(name)
+
+
+def _hits(asked: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
+    met = asked.join(found.withColumn("hit", F.lit(True)), KEY, "left")
+    return met.groupBy(*keep).agg(
+        F.first("grams").alias("grams"), F.count_if(F.col("hit") & ~F.col("whole")).alias("hits"),
+        F.coalesce(F.max(F.col("hit") & F.col("whole")), F.lit(False)).alias("exact"))
+
+
+def hits_in(stored: DataFrame, items: DataFrame, n: int = fixed.LEAK_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """As `shingle_hits`, against keys that `store_pool` wrote with the same `n`."""
+    keep = keep or ["eval_set", "item_id"]
+    asked = _keys(_worded(items), n, *keep).dropDuplicates([*keep, *KEY])
+    found = stored.join(asked.select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct(), [F.col(c) == F.col(f"_{c}") for c in KEY]).select(*KEY)
+    return _hits(asked, found, keep)
 
 
 def shingle_hits(pool: DataFrame, items: DataFrame, n: int = fixed.LEAK_WORDS, keep: list[str] | None = None,
                  large_pool: bool = True) -> DataFrame:
     """Per item (columns `keep`): number of distinct `n`-word shingles, how many of them occur in the pool, and whether
-    the whole normalised text does. Items without words are left out. Both texts are read and hashed once.
+    the whole normalised text does. Items without words are left out.
 
-    With `large_pool`, the pool's shingles are cut down to those of the items next to the scan (the item side is
-    broadcast when a count shows it is small); without it, the pool is the small side and is broadcast against the
-    items. What is left of the pool is made distinct before any shuffle, so a phrase that a third of the pool repeats
-    costs one row per task, and an item's hits are added up in the task that reads the item."""
+    The keys of the smaller side (the items with `large_pool`, else the pool) are written once, and a Bloom filter over them, of a fixed
+    size, is tested inside the scan of the larger side: of its shingles only those reach a shuffle that the smaller side has,
+    and the few that pass wrongly. Both hashes of a key then decide in the join."""
     keep = keep or ["eval_set", "item_id"]
-    asked = _keys(_worded(items), n, *keep)
-    held = _keys(_worded(pool), n).select("h", "whole")
     if large_pool:
-        wanted = asked.select("h", "whole").distinct()
-        small = fits(wanted)
-        found = held.join(F.broadcast(wanted) if small else wanted, ["h", "whole"], "left_semi").distinct()
-    else:
-        found = held.distinct()
-        small = fits(found)
-    found = found.withColumn("hit", F.lit(True))
-    met = asked.join(F.broadcast(found) if small else found, ["h", "whole"], "left")
-    return met.groupBy(*keep).agg(
-        F.first("grams").alias("grams"), F.count_if(F.col("hit") & ~F.col("whole")).alias("hits"),
-        F.coalesce(F.max(F.col("hit") & F.col("whole")), F.lit(False)).alias("exact"))
+        asked = materialise(_keys(_worded(items), n, *keep).dropDuplicates([*keep, *KEY]), "asked")
+        return _hits(asked, pool_keys(pool, n, may_hold(asked, "h")), keep)
+    held = materialise(pool_keys(pool, n), "pool_keys")
+    asked = _keys(_worded(items), n, *keep).where(F.col("whole") | may_hold(held, "h")(F.col("h")))  # an item's row for its whole text always stays
+    return _hits(asked.dropDuplicates([*keep, *KEY]), held, keep)
 
 
 def flag_items(hits: DataFrame, share: float = fixed.LEAK_SHARE) -> DataFrame:

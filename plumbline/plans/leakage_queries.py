@@ -76,22 +76,26 @@ def leakage_by_source(t):
     return leakage.leakage_report(leakage.flag_items(hits), ["source", "lang"])
 
 
-@query("exact_copies", f"""SELECT doc_id, source FROM documents WHERE len({sql_words('text')}) > 0 AND
-    array_to_string({sql_words('text')}, ' ') IN (SELECT array_to_string({sql_words('text')}, ' ') FROM conversations)""")
+@query("exact_copies", f"""SELECT doc_id, source FROM documents WHERE source <> 'src0' AND len({sql_words('text')}) > 0 AND
+    array_to_string({sql_words('text')}, ' ') IN (SELECT array_to_string({sql_words('text')}, ' ') FROM documents WHERE source = 'src0')""")
 def exact_copies(t):
-    return leakage.exact_copies(t.documents.select("doc_id", "source", "text"), t.conversations).select("doc_id", "source")
+    """Documents of the other sources that repeat a text of the largest source."""
+    other, first = t.documents.where("source <> 'src0'"), t.documents.where("source = 'src0'")
+    return leakage.exact_copies(other.select("doc_id", "source", "text"), first).select("doc_id", "source")
 
 
 @query("near_copies", f"""WITH d AS (SELECT DISTINCT doc_id, unnest({sql_shingles('w', 3)}) AS g
-        FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)),
+        FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents WHERE source <> 'src0')),
     b AS (SELECT DISTINCT item_id, unnest({sql_shingles('w', 3)}) AS g
-        FROM (SELECT item_id, {sql_words('text')} AS w FROM benchmark)),
+        FROM (SELECT doc_id AS item_id, {sql_words('text')} AS w FROM documents WHERE source = 'src0')),
     dn AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), bn AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1),
     pairs AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN b USING (g) GROUP BY 1, 2)
     SELECT doc_id, round(max(c / (dn.n + bn.n - c)), 6) AS jaccard
     FROM pairs JOIN dn USING (doc_id) JOIN bn USING (item_id) WHERE c / (dn.n + bn.n - c) >= 0.5 GROUP BY doc_id""")
 def near_copies(t):
-    return leakage.near_copies(t.documents, t.benchmark, "doc_id").select("doc_id", F.round("jaccard", 6).alias("jaccard"))
+    """Documents of the other sources that are near a text of the largest source."""
+    found = leakage.near_copies(t.documents.where("source <> 'src0'"), t.documents.where("source = 'src0'"), "doc_id")
+    return found.select("doc_id", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("near_copies_between_chats", f"""WITH d AS (SELECT DISTINCT doc_id, unnest({sql_shingles('w', 3)}) AS g

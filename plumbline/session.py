@@ -54,11 +54,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan has fewer splits than there are cores (one small file); otherwise `df` as it is.
-    Only the plan is looked at. Text work is CPU-bound, so a small file should not end up in one task, and a large one
-    is never moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows over all cores when a table is so small that a scan would have fewer splits than there are cores; otherwise `df` as
+    it is, and streams too. Only the size the plan states is looked at; nothing runs. Text work is CPU-bound, so a small file
+    should not end up in one task, and a large one is never moved."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split else df
 
 
 def fits(df: DataFrame, max_rows: int = 1_000_000) -> bool:

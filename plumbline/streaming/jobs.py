@@ -32,11 +32,14 @@ def new_only(rows: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataF
 
 
 def leakage_gate(pool: DataFrame, clean_path: str, held_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: arriving items (eval_set, item_id, text) go to `clean_path`, flagged ones to `held_path`. Each
+    """A foreachBatch function: arriving items (eval_set, item_id, text) go to `clean_path`, flagged ones to `held_path`. The pool's keys are
+    stored once, here: a micro-batch joins the stored table and never reads the pool's texts. Each
     batch writes its own folder and overwrites it when it is replayed, so a restart repeats nothing."""
+    stored = leakage.store_pool(pool)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         items = batch.select("eval_set", "item_id", "text")
-        flags = leakage.flag_items(leakage.shingle_hits(pool, items))
+        flags = leakage.flag_items(leakage.hits_in(stored, items))
         marked = items.join(flags.select("eval_set", "item_id", "flagged"), ["eval_set", "item_id"], "left").withColumn(
             "flagged", F.coalesce("flagged", F.lit(False)))
         marked.filter("not flagged").drop("flagged").write.mode("overwrite").parquet(f"{clean_path}/batch={batch_id}")
