@@ -86,77 +86,91 @@ def _criteria(kind: Column, raw: Column, v: Column, shape: Column) -> Column:
             .when((kind == "score") & (shape == "array"), placed))
 
 
-def explode_tasks(requests: DataFrame, request_id: str = "request_id", body: str = "body") -> DataFrame:
-    """One row per question with its first problem, if any: (request_id, ord, qid, kind, question, options, examples,
-    explain, state, state_is_text, field, message). A request that fails as a whole is one row without a qid. Every
-    JSON value is parsed once: what the next step needs travels in the rows of the generator."""
-    def request(v: Column) -> Column:
-        return let(_kind(v), lambda kind: let(F.when(kind == "object", F.from_json(F.col(body), TEXT_MAP)), lambda top: let(
-            _part(v, "questions", "map<string,variant>"), lambda asked: F.struct(
-                F.coalesce(top["state"], F.lit("null")).alias("state"),
-                _is(_kind(_part(v, "state")), "string").alias("state_is_text"),
-                F.when(~_is(kind, "object"), _problem(F.lit("body"), fixed.ERR_BODY))
-                .when(~F.coalesce(F.map_contains_key(top, F.lit("state")), F.lit(False)), _problem(F.lit("state"), fixed.ERR_STATE))
-                .when(F.coalesce(F.size(asked), F.lit(0)) <= 0, _problem(F.lit("questions"), fixed.ERR_QUESTIONS)).alias("problem"),
-                F.transform(F.map_entries(F.from_json(top["questions"], TEXT_MAP)), lambda e: F.struct(
-                    e["key"].alias("qid"), e["value"].alias("raw"), asked[e["key"]].alias("v"))).alias("asked")))))
-
-    heads = requests.select(request_id, let(F.try_parse_json(F.col(body)), request).alias("_r"))
-    rows = heads.select(request_id, F.col("_r.problem").alias("_whole"), F.col("_r.state").alias("state"),
-                        F.col("_r.state_is_text").alias("state_is_text"),
-                        F.posexplode_outer(F.when(F.col("_r.problem").isNull(), F.col("_r.asked"))).alias("ord", "_e"))
-
-    def question(e: Column) -> Column:
-        shapes = F.struct(_kind(e["v"]).alias("kind"), _kind(_part(e["v"], "type")).alias("type"),
-                          _kind(_part(e["v"], "instructions")).alias("asks"), _kind(_part(e["v"], "criteria")).alias("criteria"),
-                          F.from_json(e["raw"], TEXT_MAP).alias("f"))
-        return let(shapes, lambda s: let(F.when(s["type"] == "string", s["f"]["type"]), lambda kind: F.struct(
+def _question(e: Column) -> Column:
+    """One question (qid, raw, v) as (qid, kind, question, options, examples, explain, problem)."""
+    shapes = F.struct(_kind(e["v"]).alias("kind"), _kind(_part(e["v"], "type")).alias("type"),
+                      _kind(_part(e["v"], "instructions")).alias("asks"), _kind(_part(e["v"], "criteria")).alias("criteria"),
+                      F.from_json(e["raw"], TEXT_MAP).alias("f"))
+
+    def read(s: Column, kind: Column) -> Column:
+        return F.struct(
             s["kind"].alias("shape"), kind.alias("kind"), s["asks"].alias("asks"), s["criteria"].alias("criteria_shape"),
             s["f"]["instructions"].alias("raw_question"),
             text.strip(_plain(s["f"]["instructions"], _is(s["asks"], "object"))).alias("question"), s["f"]["explain"].alias("explain"),
             F.map_keys(F.when(s["criteria"] == "object", F.from_json(s["f"]["criteria"], TEXT_MAP))).alias("named"),
-            F.transform(_criteria(kind, s["f"]["criteria"], _part(e["v"], "criteria"), s["criteria"]), _criterion).alias("read"))))
-
-    rows = rows.withColumn("_q", F.explode_outer(F.array(question(F.col("_e")))))
-    q = lambda name: F.col("_q." + name)
-    where = F.concat(F.lit("questions."), F.col("_e.qid"))
-    crit = F.concat(where, F.lit(".criteria"))
-    first_bad = F.get(F.filter(q("read"), lambda r: r["bad"].isNotNull()), 0)
-    count = F.coalesce(F.size(q("read")), F.lit(-1))
-    unasked = (~_is(q("asks"), "string", "object", "array") | F.coalesce(q("question") == "", F.lit(True))
-               | F.coalesce(q("raw_question").isin("{}", "[]") & (q("asks") != "string"), F.lit(False)))
-    both = F.coalesce(F.array_sort(q("named")) == F.array(F.lit("false"), F.lit("true")), F.lit(False))
-    found = (F.when(F.col("_whole").isNotNull(), F.col("_whole"))
-             .when(~_is(q("shape"), "object"), _problem(where, fixed.ERR_QUESTION))
-             .when(unasked, _problem(F.concat(where, F.lit(".instructions")), fixed.ERR_INSTRUCTIONS))
-             .when(~_is(q("kind"), "noul", "choice", "score"), _problem(F.concat(where, F.lit(".type")), fixed.ERR_TYPE))
-             .when((q("kind") == "noul") & q("criteria_shape").isNotNull() & ~both, _problem(crit, fixed.ERR_NOUL))
-             .when((q("kind") == "choice") & (~_is(q("criteria_shape"), "object") | (count < 2)), _problem(crit, fixed.ERR_CHOICE))
-             .when((q("kind") == "score") & (~_is(q("criteria_shape"), "array") | (count < 2) | (count > 10)),
-                   _problem(crit, fixed.ERR_SCORE))
-             .when(first_bad.isNotNull(), _problem(F.concat(crit, F.lit("."), first_bad["key"]), first_bad["bad"]))
-             .when(count > fixed.MAX_OPTIONS, _problem(crit, fixed.ERR_MANY)))
-    truthy = F.coalesce(~q("explain").isin("false", "0", "", "[]", "{}", "null"), F.lit(False))
-    shots = F.flatten(F.filter(F.transform(q("read"), lambda r: r["examples"]), lambda x: x.isNotNull()))
-    checked = rows.withColumn("_err", F.explode_outer(F.array(found)))
-    return checked.select(
-        request_id, "ord", F.col("_e.qid").alias("qid"), q("kind").alias("kind"), q("question").alias("question"),
-        F.transform(q("read"), lambda r: F.struct(r["key"].alias("key"), r["description"].alias("description"))).alias("options"),
-        F.coalesce(shots, F.array().cast(EXAMPLES)).alias("examples"), truthy.alias("explain"), "state", "state_is_text",
-        F.col("_err.field").alias("field"), F.col("_err.message").alias("message"))
+            F.transform(_criteria(kind, s["f"]["criteria"], _part(e["v"], "criteria"), s["criteria"]), _criterion).alias("read"))
+
+    def checked(q: Column) -> Column:
+        where = F.concat(F.lit("questions."), e["qid"])
+        crit = F.concat(where, F.lit(".criteria"))
+        first_bad = F.get(F.filter(q["read"], lambda r: r["bad"].isNotNull()), 0)
+        count = F.coalesce(F.size(q["read"]), F.lit(-1))
+        unasked = (~_is(q["asks"], "string", "object", "array") | F.coalesce(q["question"] == "", F.lit(True))
+                   | F.coalesce(q["raw_question"].isin("{}", "[]") & (q["asks"] != "string"), F.lit(False)))
+        both = F.coalesce(F.array_sort(q["named"]) == F.array(F.lit("false"), F.lit("true")), F.lit(False))
+        found = (F.when(~_is(q["shape"], "object"), _problem(where, fixed.ERR_QUESTION))
+                 .when(unasked, _problem(F.concat(where, F.lit(".instructions")), fixed.ERR_INSTRUCTIONS))
+                 .when(~_is(q["kind"], "noul", "choice", "score"), _problem(F.concat(where, F.lit(".type")), fixed.ERR_TYPE))
+                 .when((q["kind"] == "noul") & q["criteria_shape"].isNotNull() & ~both, _problem(crit, fixed.ERR_NOUL))
+                 .when((q["kind"] == "choice") & (~_is(q["criteria_shape"], "object") | (count < 2)), _problem(crit, fixed.ERR_CHOICE))
+                 .when((q["kind"] == "score") & (~_is(q["criteria_shape"], "array") | (count < 2) | (count > 10)),
+                       _problem(crit, fixed.ERR_SCORE))
+                 .when(first_bad.isNotNull(), _problem(F.concat(crit, F.lit("."), first_bad["key"]), first_bad["bad"]))
+                 .when(count > fixed.MAX_OPTIONS, _problem(crit, fixed.ERR_MANY)))
+        truthy = F.coalesce(~q["explain"].isin("false", "0", "", "[]", "{}", "null"), F.lit(False))
+        shots = F.flatten(F.filter(F.transform(q["read"], lambda r: r["examples"]), lambda x: x.isNotNull()))
+        return F.struct(e["qid"].alias("qid"), q["kind"].alias("kind"), q["question"].alias("question"),
+                        F.transform(q["read"], lambda r: F.struct(r["key"].alias("key"), r["description"].alias("description"))).alias("options"),
+                        F.coalesce(shots, F.array().cast(EXAMPLES)).alias("examples"), truthy.alias("explain"), found.alias("problem"))
+
+    return let(shapes, lambda s: let(let(F.when(s["type"] == "string", s["f"]["type"]), lambda kind: read(s, kind)), checked))
+
+
+def parse_requests(requests: DataFrame, request_id: str = "request_id", body: str = "body") -> DataFrame:
+    """One row per request: (request_id, state, state_is_text, problem, tasks). `problem` (field, message) is the first of the whole
+    request, in the order of its questions, and null for a good one; `tasks` are its questions in order. Everything is decided
+    inside the row, from one reading of the JSON: nothing is joined, grouped or shuffled, in a batch or in a stream."""
+    def request(v: Column) -> Column:
+        def read(kind: Column, top: Column, asked: Column) -> Column:
+            whole = (F.when(~_is(kind, "object"), _problem(F.lit("body"), fixed.ERR_BODY))
+                     .when(~F.coalesce(F.map_contains_key(top, F.lit("state")), F.lit(False)), _problem(F.lit("state"), fixed.ERR_STATE))
+                     .when(F.coalesce(F.size(asked), F.lit(0)) <= 0, _problem(F.lit("questions"), fixed.ERR_QUESTIONS)))
+            entries = F.transform(F.map_entries(F.from_json(top["questions"], TEXT_MAP)), lambda e: F.struct(
+                e["key"].alias("qid"), e["value"].alias("raw"), asked[e["key"]].alias("v")))
+            return let(whole, lambda w: let(F.when(w.isNull(), F.transform(entries, _question)), lambda tasks: F.struct(
+                F.coalesce(top["state"], F.lit("null")).alias("state"), _is(_kind(_part(v, "state")), "string").alias("state_is_text"),
+                F.coalesce(w, F.get(F.filter(F.transform(tasks, lambda t: t["problem"]), lambda p: p.isNotNull()), 0)).alias("problem"),
+                F.transform(tasks, lambda t: F.struct(*[t[c].alias(c) for c in TASK])).alias("tasks"))))
+
+        return let(_kind(v), lambda kind: let(F.when(kind == "object", F.from_json(F.col(body), TEXT_MAP)), lambda top: let(
+            _part(v, "questions", "map<string,variant>"), lambda asked: read(kind, top, asked))))
+
+    # a generator's output is not put into what reads it, so the JSON is read once however often its parts are named
+    return requests.select(request_id, F.explode_outer(F.array(let(F.try_parse_json(F.col(body)), request))).alias("_p")).select(request_id, "_p.*")
+
+
+TASK = ["qid", "kind", "question", "options", "examples", "explain"]
+
+
+def explode_tasks(requests: DataFrame, request_id: str = "request_id", body: str = "body") -> DataFrame:
+    """One row per question of each good request: (request_id, ord, qid, kind, question, options, examples, explain, state, state_is_text,
+    seen, field, message); `seen` are the state's distinct retrieval words. A rejected request is one row that has only field and message."""
+    parsed = parse_requests(requests, request_id, body)
+    good = F.col("problem").isNull()
+    ready = parsed.select(request_id, "problem", "state", "state_is_text", F.explode_outer(F.array(F.struct(
+        F.when(good, F.array_distinct(text.retrieval_words(F.col("state")))).alias("seen"), F.when(good, F.col("tasks")).alias("tasks")))).alias("_r"))
+    rows = ready.select(request_id, "problem", "state", "state_is_text", F.col("_r.seen").alias("seen"), F.posexplode_outer("_r.tasks").alias("ord", "_t"))
+    return rows.select(request_id, "ord", *[f"_t.{c}" for c in TASK], "state", "state_is_text", "seen", "problem.field", "problem.message")
 
 
 def rejected(exploded: DataFrame, request_id: str = "request_id") -> DataFrame:
     """The first problem of each rejected request."""
-    bad = exploded.filter(F.col("field").isNotNull())
-    return bad.groupBy(request_id).agg(F.min_by(F.struct("field", "message"), F.coalesce("ord", F.lit(-1))).alias("e")
-                                       ).select(request_id, "e.field", "e.message")
+    return exploded.filter(F.col("field").isNotNull()).select(request_id, "field", "message")
 
 
 def accepted(exploded: DataFrame, request_id: str = "request_id") -> DataFrame:
     """Tasks of the requests without any problem."""
-    bad = exploded.filter(F.col("field").isNotNull()).select(request_id).distinct()
-    return exploded.join(bad, request_id, "left_anti").drop("field", "message")
+    return exploded.filter(F.col("field").isNull()).drop("field", "message")
 
 
 def with_prompts(tasks: DataFrame) -> DataFrame:

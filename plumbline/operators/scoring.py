@@ -16,11 +16,12 @@ from plumbline.operators import requests
 from plumbline.session import materialise
 
 
-def overlap_scorer(state: Column) -> Callable[[Column], Column]:
-    """The built-in scorer: softmax over the number of words each option (key and description) shares with the state.
-    It stands in for a model, so that every step around the model can run and be tested. All native."""
+def overlap_scorer(state: Column, seen: Column | None = None) -> Callable[[Column], Column]:
+    """The built-in scorer: softmax over the number of words each option (key and description) shares with the state, whose distinct
+    retrieval words are `seen` where they are known. It stands in for a model, so that every step around the model can run and be
+    tested. All native."""
     def score(options: Column) -> Column:
-        shared = let(F.array_distinct(text.retrieval_words(state)), lambda seen: F.transform(options, lambda o: F.size(
+        shared = let(F.array_distinct(text.retrieval_words(state)) if seen is None else seen, lambda seen: F.transform(options, lambda o: F.size(
             F.array_intersect(seen, text.retrieval_words(F.concat_ws(
                 " ", F.regexp_replace(o["key"], "_", " "), o["description"])))).cast("double")))
         return maths.softmax(shared)
@@ -78,6 +79,25 @@ def _retry(call, rows: list[dict], attempts: int, pause: float):
     return None, problem
 
 
+FAILURES = 8  # rows of a batch that may fail one by one before the rest of it is given up
+
+
+def _each(call, rows: list[dict], attempts: int, pause: float, left: list[int]) -> list[tuple]:
+    """(answer, error) of every row. A failing batch is halved until the rows that fail are found: halves are tried once, single rows
+    with all attempts, and after `left` failed rows what is still open gets the last error without further calls, so that
+    a service that is down costs a few calls a batch and not one (with its pauses) a row."""
+    got, problem = _retry(call, rows, attempts if len(rows) == 1 or left[0] == FAILURES else 1, pause)
+    if got is not None:
+        return [(one, None) for one in got]
+    if len(rows) == 1:
+        left[0] -= 1
+        return [(None, problem)]
+    out: list[tuple] = []
+    for part in (rows[:len(rows) // 2], rows[len(rows) // 2:]):
+        out += _each(call, part, attempts, pause, left) if left[0] > 0 else [(None, problem)] * len(part)
+    return out
+
+
 def _plug_in(df: DataFrame, factory, columns: list[str], added: list[T.StructField], attempts: int, pause: float,
              label: str, keep: bool) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *added, T.StructField("error", T.StringType())])
@@ -86,14 +106,10 @@ def _plug_in(df: DataFrame, factory, columns: list[str], added: list[T.StructFie
         client = factory()
         for batch in batches:
             rows = batch[columns].to_dict("records")
-            got, problem = _retry(client, rows, attempts, pause)
-            if got is None and len(rows) > 1:  # find the rows that fail, keep the rest
-                pairs = [_retry(client, [row], attempts, pause) for row in rows]
-            else:
-                pairs = [([got[i]], None) if got is not None else (None, problem) for i in range(len(rows))]
+            pairs = _each(client, rows, attempts, pause, [FAILURES]) if rows else []
             out = batch.copy()
             for field in added:
-                out[field.name] = [None if one is None else one[0][field.name] for one, _ in pairs]
+                out[field.name] = [None if one is None else one[field.name] for one, _ in pairs]
             out["error"] = [issue for _, issue in pairs]
             yield out
 
@@ -167,8 +183,8 @@ def decide(bodies: DataFrame, request_id: str = "request_id", body: str = "body"
     refused = requests.rejected(exploded, request_id)
     if factory is None:
         asked = requests.with_prompts(tasks) if prompts else tasks
-        return requests.answers(tournament(asked, "options", overlap_scorer(F.col("state")), most=fixed.MAX_OPTIONS)), refused
-    keyed = tasks.withColumn("_task", F.concat_ws("/", request_id, "qid"))
+        return requests.answers(tournament(asked, "options", overlap_scorer(F.col("state"), F.col("seen")), most=fixed.MAX_OPTIONS)), refused
+    keyed = tasks.drop("seen").withColumn("_task", F.concat_ws("/", request_id, "qid"))
     scored = tournament_with(keyed, "_task", factory, ["messages", "options"], most=fixed.MAX_OPTIONS, render=requests.with_prompts).drop("_task")
     failed = scored.filter(F.col("error").isNotNull()).groupBy(request_id).agg(F.min_by(F.struct("qid", "error"), "ord").alias("e")).select(
         request_id, F.concat(F.lit("questions."), F.col("e.qid")).alias("field"), F.col("e.error").alias("message"))

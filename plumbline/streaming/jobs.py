@@ -16,10 +16,10 @@ from plumbline.session import fresh_path
 
 
 def decisions(bodies: DataFrame, request_id: str = "request_id", body: str = "body") -> DataFrame:
-    """Answers for arriving requests, one row per question, with the request's error fields where it was malformed.
-    Everything is per row, so the query stays in append mode without state."""
+    """Answers for arriving requests, one row per question; a request with any problem is one row with its first problem and no
+    answer, as in a batch. Everything is per row, so the query stays in append mode without state."""
     tasks = requests.explode_tasks(bodies, request_id, body)
-    scored = scoring.tournament(tasks, "options", scoring.overlap_scorer(F.col("state")), most=fixed.MAX_OPTIONS)
+    scored = scoring.tournament(tasks, "options", scoring.overlap_scorer(F.col("state"), F.col("seen")), most=fixed.MAX_OPTIONS)
     good = F.col("field").isNull()
     out = requests.answers(scored)
     return out.select(request_id, "ord", "qid", "kind", *[F.when(good, F.col(c)).alias(c) for c in (
