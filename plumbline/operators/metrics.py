@@ -148,13 +148,13 @@ def task_average(merged: DataFrame, tasks: list[str], exclude: DataFrame | None
                        F.when(complete, F.round(mean / len(tasks), 2)).alias("task_average"))
 
 
-def knowledge_rates(judged: DataFrame) -> DataFrame:
+def knowledge_rates(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rates of acceptable replies and of replies that invent facts, over all, by answerable and by language, in one
-    row; null where there is nothing to count."""
+    row (per `by`); null where there is nothing to count."""
     rate = lambda flag, when=None: F.round(F.avg(flag.cast("double") if when is None else
                                                  F.when(when, flag.cast("double"))), 3)
     ok, invents, can, en = F.col("acceptable"), F.col("invents"), F.col("answerable"), F.col("lang").isin("English", "en")
-    return judged.agg(F.count(F.lit(1)).alias("n"), rate(ok).alias("acceptable"), rate(ok, can).alias("answerable"),
+    return judged.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), rate(ok).alias("acceptable"), rate(ok, can).alias("answerable"),
                       rate(ok, ~can).alias("unanswerable"), rate(ok, en).alias("english"), rate(ok, ~en).alias("other_languages"),
                       rate(invents).alias("invents"), rate(invents, can).alias("invents_answerable"),
                       rate(invents, ~can).alias("invents_unanswerable"))

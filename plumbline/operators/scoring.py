@@ -82,11 +82,11 @@ def _retry(call, rows: list[dict], attempts: int, pause: float):
 FAILURES = 8  # rows of a batch that may fail one by one before the rest of it is given up
 
 
-def _each(call, rows: list[dict], attempts: int, pause: float, left: list[int]) -> list[tuple]:
+def _each(call, rows: list[dict], attempts: int, pause: float, left: list[int], whole: bool = True) -> list[tuple]:
     """(answer, error) of every row. A failing batch is halved until the rows that fail are found: halves are tried once, single rows
     with all attempts, and after `left` failed rows what is still open gets the last error without further calls, so that
     a service that is down costs a few calls a batch and not one (with its pauses) a row."""
-    got, problem = _retry(call, rows, attempts if len(rows) == 1 or left[0] == FAILURES else 1, pause)
+    got, problem = _retry(call, rows, attempts if whole or len(rows) == 1 else 1, pause)
     if got is not None:
         return [(one, None) for one in got]
     if len(rows) == 1:
@@ -94,7 +94,7 @@ def _each(call, rows: list[dict], attempts: int, pause: float, left: list[int])
         return [(None, problem)]
     out: list[tuple] = []
     for part in (rows[:len(rows) // 2], rows[len(rows) // 2:]):
-        out += _each(call, part, attempts, pause, left) if left[0] > 0 else [(None, problem)] * len(part)
+        out += _each(call, part, attempts, pause, left, False) if left[0] > 0 else [(None, problem)] * len(part)
     return out
 
 

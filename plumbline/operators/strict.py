@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import fixed, text
+from plumbline.functions import fixed, maths, text
+from plumbline.operators import scoring
+from plumbline.session import materialise
 
 
 def checked_sentences(replies: DataFrame, key: str, draft: str = "draft", source: str = "source",
@@ -34,6 +36,39 @@ def reports(sentences: DataFrame, kind: Column, supported: Callable[[DataFrame],
     return asked.select(*settled.columns).unionByName(settled)
 
 
+Ask = Callable[[DataFrame, str, str, str, list[tuple[str, str]]], DataFrame]
+
+
+def verify(replies: DataFrame, key: str, ask: Ask | None = None, threshold: float | None = fixed.STRICT_THRESHOLD,
+           note: str = fixed.STRICT_NOTE) -> tuple[DataFrame, DataFrame]:
+    """(replies after the check, sentence reports) with both decisions made: first the kind of every sentence, then, only for
+    sentences that state a fact and whose exact facts all occur, whether the knowledge supports it as a claim.
+
+    `replies` has `key`, `draft`, `knowledge` and `users` (the user's own messages). Exact facts may come from the knowledge or the
+    user; the evidence of a claim is the knowledge alone. `ask(rows, state, question, kind, options)` answers one question about a text
+    column by adding `probs` in the order of `options`; by default the built-in scorer, as `scoring.ask`."""
+    decide = ask or scoring.ask
+    source = F.concat(F.col("knowledge"), F.lit("\n"), F.array_join("users", "\n"))
+    rows = checked_sentences(replies.withColumn("source", source), key, carry=["knowledge"])
+
+    def decided(part: DataFrame, state: Column, question: str, options: list[tuple[str, str]]) -> DataFrame:
+        names = F.array(*[F.lit(k) for k, _ in options])
+        done = decide(part.withColumn("_state", state), "_state", question, "choice", options)
+        return done.withColumn("_top", F.element_at(names, maths.first_top(F.col("probs"))))
+
+    kinds = decided(rows, F.concat(F.lit("Sentence: "), "sentence"), fixed.SENTENCE_KIND_QUESTION, fixed.SENTENCE_KINDS)
+    sentences = materialise(kinds.select(*rows.columns, F.col("_top").alias("_kind")), "sentence_kinds")  # read by the second decision and the report
+
+    def supported(open_ones: DataFrame) -> DataFrame:
+        state = F.concat(F.lit("Evidence:\n"), "knowledge", F.lit("\n\nClaim: "), "sentence")
+        at = [k for k, _ in fixed.CLAIM_OPTIONS].index("supported")
+        done = decided(open_ones, state, fixed.CLAIM_QUESTION, fixed.CLAIM_OPTIONS)
+        return done.select(*open_ones.columns, F.get("probs", at).alias("supported"))
+
+    report = reports(sentences, F.col("_kind"), supported).drop("_kind", "knowledge")
+    return assemble(replies, report, key, F.lit(threshold).cast("double"), note=note), report
+
+
 def kept(threshold: Column) -> Column:
     """A sentence stays when it states no fact, its support reaches the threshold, or there is no threshold."""
     return threshold.isNull() | F.col("supported").isNull() | (F.col("supported") >= threshold)

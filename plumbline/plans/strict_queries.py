@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed, text
 from plumbline.operators import strict
 from plumbline.plans.registry import query
-from plumbline.plans.retrieval_queries import sql_sentences
+from plumbline.plans.retrieval_queries import sql_retrieval_words, sql_sentences
 from plumbline.session import spread
 
 # RE2 has neither look-behind nor look-ahead: the clock pattern uses ASCII word boundaries and the thousands comma is
@@ -53,35 +53,44 @@ def facts_missing_from_pair(t):
 
 
 def replies(t):
-    """Assistant turns with everything said before them as the source. A conversation is one prompt, so it is small."""
+    """Assistant turns with what assistants said before as the knowledge, and the user's messages before. A conversation is one prompt,
+    so it is small."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    with_source = t.conversations.withColumn("source", F.array_join(F.collect_list("text").over(before), "\n"))
-    return with_source.filter(F.col("role") == "assistant").select(
-        F.concat_ws("-", "conv_id", "turn").alias("reply_id"), F.col("text").alias("draft"), "source")
-
-
-REPLIES = """replies AS (SELECT conv_id || '-' || turn AS reply_id, text AS draft, coalesce(source, '') AS source FROM (SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM conversations) WHERE role = 'assistant')"""
-# stand-ins for the two decisions of a model: a sentence of even length is a fact, its support depends on its length
+    said = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("text"))).over(before)
+    rows = t.conversations.withColumn("knowledge", F.array_join(said("assistant"), "\n")).withColumn("users", said("user"))
+    return rows.filter(F.col("role") == "assistant").select(F.concat_ws("-", "conv_id", "turn").alias("reply_id"), F.col("text").alias("draft"), "knowledge", "users")
+
+
+def clerk(rows, state, question, kind, options):
+    """Stands in for a model that decides both questions. Kind: fewer than four words are no statement, a length that seven divides is an
+    unknown, the rest are facts. Claim: supported as far as its words occur in the evidence."""
+    s = F.substring(F.col(state), F.lit(len("Sentence: ") + 1), F.length(state))
+    if question == fixed.SENTENCE_KIND_QUESTION:
+        at = F.when(F.size(F.regexp_extract_all(s, F.lit("[^ ]+"), F.lit(0))) < 4, 2).when(F.length(s) % 7 == 0, 1).otherwise(0)
+        return rows.withColumn("probs", F.transform(F.array(*[F.lit(i) for i in range(3)]), lambda i: F.when(i == at, 0.8).otherwise(0.1)))
+    parts = F.split(F.substring(F.col(state), F.lit(len("Evidence:\n") + 1), F.length(state)), "\n\nClaim: ")
+    words = [F.array_distinct(text.retrieval_words(F.get(parts, i))) for i in (0, 1)]
+    share = F.when(F.size("_claim") == 0, 1.0).otherwise(F.size(F.array_intersect("_claim", "_known")) / F.size("_claim"))
+    read = rows.select("*", F.explode_outer(F.array(F.struct(words[0].alias("_known"), words[1].alias("_claim")))).alias("_w")).select("*", "_w.*")
+    return read.withColumn("probs", F.array(share, (1 - share) / 2, (1 - share) / 2)).drop("_w", "_known", "_claim")
+
+
+REPLIES = """replies AS (SELECT conv_id || '-' || turn AS reply_id, text AS draft, coalesce(known, '') AS knowledge, coalesce(asked, '') AS users FROM (SELECT *,
+        string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') OVER w AS known, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') OVER w AS asked
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE role = 'assistant')"""
 REPORT = rf"""{REPLIES}, parts AS (SELECT reply_id, unnest({sql_sentences('draft')}) AS sentence, generate_subscripts({sql_sentences('draft')}, 1) - 1 AS ord FROM replies),
-    known AS (SELECT reply_id, {sql_facts('source')} AS facts FROM replies),
-    judged AS (SELECT reply_id, ord, sentence, list_filter({sql_facts('sentence')}, lambda x: NOT list_contains(facts, x)) AS missing,
-        CASE WHEN length(sentence) % 2 = 0 THEN 'fact' ELSE 'other' END AS kind FROM parts JOIN known USING (reply_id)),
-    report AS (SELECT reply_id, ord, sentence, missing, kind, CASE WHEN len(missing) > 0 THEN 0.0::DOUBLE WHEN kind = 'fact' THEN length(sentence) % 10 / 10.0::DOUBLE END AS supported FROM judged)"""
+    known AS (SELECT reply_id, {sql_facts("(knowledge || chr(10) || users)")} AS facts, {sql_retrieval_words('knowledge')} AS words FROM replies),
+    judged AS (SELECT reply_id, ord, sentence, words, list_filter({sql_facts('sentence')}, lambda x: NOT list_contains(facts, x)) AS missing,
+        CASE WHEN len(regexp_extract_all(sentence, '[^ ]+')) < 4 THEN 'other' WHEN length(sentence) % 7 = 0 THEN 'unknown' ELSE 'fact' END AS kind,
+        list_distinct({sql_retrieval_words('sentence')}) AS claim FROM parts JOIN known USING (reply_id)),
+    report AS (SELECT reply_id, ord, sentence, missing, kind, CASE WHEN len(missing) > 0 THEN 0.0::DOUBLE WHEN kind <> 'fact' THEN NULL WHEN len(claim) = 0 THEN 1.0::DOUBLE
+        ELSE round(len(list_intersect(claim, words)) / len(claim), 4) END AS supported FROM judged)"""
 SQL_NOTE = fixed.STRICT_NOTE.replace("'", "''")
 
 
-def _kind():
-    return F.when(F.length("sentence") % 2 == 0, "fact").otherwise("other")
-
-
-def _support():
-    return (F.length("sentence") % 10) / 10.0
-
-
 @query("sentence_reports", f"WITH {REPORT} SELECT reply_id, CAST(ord AS BIGINT) AS ord, md5(sentence) AS sentence_md5, array_to_string(missing, ' | ') AS missing, kind, supported FROM report")
 def sentence_reports(t):
-    report = strict.reports(strict.checked_sentences(replies(t), "reply_id"), _kind(), lambda rows: rows.withColumn("supported", _support()))
+    _, report = strict.verify(replies(t), "reply_id", clerk)
     return report.select("reply_id", F.col("ord").cast("bigint").alias("ord"), F.md5("sentence").alias("sentence_md5"), F.array_join("missing", " | ").alias("missing"), "kind", "supported")
 
 
@@ -96,13 +105,13 @@ def _sql_assemble(source: str, keys: str, untouched: str) -> str:
 @query("strict_replies", f"""WITH {REPORT}, timed AS (SELECT *, 0.5::DOUBLE AS threshold FROM report), {_sql_assemble('timed', 'reply_id', 'NULL')}
     SELECT r.reply_id, coalesce(f.action, 'sent') AS action, coalesce(f.removed, 0) AS removed, md5(coalesce(f.reply, r.draft)) AS reply_md5 FROM replies r LEFT JOIN final f USING (reply_id)""")
 def strict_replies(t):
-    done = strict.strict_check(replies(t), "reply_id", _kind(), _support())
+    done, _ = strict.verify(replies(t), "reply_id", clerk)
     return done.select("reply_id", "action", "removed", F.md5("reply").alias("reply_md5"))
 
 
 @query("threshold_sweep", f"""WITH {REPORT}, timed AS (SELECT report.*, t.threshold FROM report, (VALUES (0.3::DOUBLE), (0.5), (0.7), (0.9), (NULL)) t(threshold)),
     {_sql_assemble('timed', 'reply_id, threshold', 'said')} SELECT coalesce(threshold, -1) AS threshold, action, count(*) AS replies, CAST(sum(removed) AS BIGINT) AS removed FROM final GROUP BY ALL""")
 def threshold_sweep(t):
-    report = strict.reports(strict.checked_sentences(replies(t), "reply_id"), _kind(), _support())
+    _, report = strict.verify(replies(t), "reply_id", clerk)
     done = strict.sweep(report, "reply_id", [0.3, 0.5, 0.7, 0.9, None])
     return done.groupBy(F.coalesce("threshold", F.lit(-1.0)).alias("threshold"), "action").agg(F.count(F.lit(1)).alias("replies"), F.sum("removed").alias("removed"))
