@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed, prompts, text
 from plumbline.operators import retrieval
 from plumbline.plans.registry import query, sql_strip
-from plumbline.session import materialise, spread
+from plumbline.session import spread
 
 STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
 NO_SPACE = fixed.NO_SPACE_CLASS
@@ -64,9 +64,9 @@ def corpus_of(t):
 
 
 def found(t):
-    indexed = materialise(retrieval.index(passage_table(t), "lang", ["doc_id", "passage"]), "index")
+    indexed = retrieval.write_index(passage_table(t), "lang", ["doc_id", "passage"])
     asked = retrieval.user_query(t.conversations).join(corpus_of(t), "conv_id")
-    return retrieval.search(asked, indexed, "lang", "conv_id", ["doc_id", "passage"])
+    return retrieval.search(asked, indexed, "conv_id")
 
 
 @query("retrieval_words", f"SELECT doc_id, md5(array_to_string({sql_retrieval_words('text')}, ' ')) AS words_md5, len({sql_retrieval_words('text')}) AS n FROM documents")
@@ -99,9 +99,7 @@ def passages(t):
 @query("corpus_statistics", f"""WITH {PASSAGES}, {INDEXED} SELECT lang, n AS passages, round(avgdl, 6) AS avg_length, longest AS max_length,
     (SELECT count(*) FROM df WHERE df.lang = stats.lang) AS terms, (SELECT CAST(sum(df) AS BIGINT) FROM df WHERE df.lang = stats.lang) AS postings FROM stats""")
 def corpus_statistics(t):
-    indexed = materialise(retrieval.index(passage_table(t), "lang", ["doc_id", "passage"]), "index")
-    per = retrieval.document_frequency(indexed, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"))
-    return retrieval.corpus_statistics(indexed, "lang").join(per, "lang").select(
+    return retrieval.corpus_summary(passage_table(t), "lang").select(
         "lang", "passages", F.round("avg_length", 6).alias("avg_length"), F.col("max_length").cast("bigint").alias("max_length"), "terms", "postings")
 
 
