@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 
 from plumbline.functions import draws, fixed, maths, text
 from plumbline.operators.leakage import near_copies
-from plumbline.operators.ranking import sample_fraction, shuffled, top_per_group
+from plumbline.operators.ranking import positions, sample_fraction, shuffled, top_per_group
+from plumbline.session import materialise
 
 
 # ---- row filters (columns) --------------------------------------------------------------------------------------------
@@ -269,22 +271,53 @@ def half_and_half(rows: DataFrame, key: str, flag: Column, n: int, seed: int = 0
 
 
 def micro_batches(samples: DataFrame, key: str, length: str, micro: int = 8, pool: int = 16, seed: int = 0) -> DataFrame:
-    """Length-sorted micro-batches inside pools of about micro * pool samples: adds `pool` and `batch`. Pools are hash
-    buckets whose number follows the row count, so every pool fits one task."""
+    """Length-sorted micro-batches: samples in a drawn order are cut into pools of exactly micro * pool, each pool is sorted by length
+    and cut into batches, and the batches of all pools are shuffled by a second draw. Adds `pool`, `batch` (within the pool) and `step`
+    (place of the batch in the run). Both orders are numbered by ranges, so no task sorts more than its range or a pool."""
     from pyspark.sql import Window
-    pools = samples.agg(F.ceil(F.count(F.lit(1)) / F.lit(micro * pool)).cast("int").alias("_pools"))
-    spread = samples.withColumn("pool", draws.pick_index(seed, pools.scalar(), F.col(key), salt="pool"))
-    w = Window.partitionBy("pool").orderBy(length, draws.rank_key(seed, F.col(key)))
-    return spread.withColumn("batch", F.floor((F.row_number().over(w) - 1) / micro).cast("int"))
+    drawn = positions(samples.withColumn("_draw", draws.rank_key(seed, F.col(key))), ["_draw", key], "_place")
+    pooled = drawn.withColumn("pool", F.floor(F.col("_place") / (micro * pool)).cast("int"))
+    inside = F.row_number().over(Window.partitionBy("pool").orderBy(length, "_draw", key)) - 1
+    batched = pooled.withColumn("batch", F.floor(inside / micro).cast("int")).drop("_draw", "_place")
+    batches = batched.select("pool", "batch").distinct().withColumn("_draw", draws.rank_key(seed, F.col("pool"), F.col("batch"), salt="batch"))
+    steps = positions(batches, ["_draw", "pool", "batch"], "step").drop("_draw")
+    return batched.join(steps, ["pool", "batch"]).select(*samples.columns, "pool", "batch", "step")
+
+
+def held_out_from(rows: DataFrame, order: list[str | Column], first: int) -> DataFrame:
+    """`position` of every row in the given order, and `held_out` for those from position `first` on: what one run uses and another
+    must not see."""
+    return positions(rows, order, "position").withColumn("held_out", F.col("position") >= first)
+
+
+def filled_caps(rows: DataFrame, source: str, key: str, cap: int, convert: Callable[[DataFrame], DataFrame], seed: int = 0, spare: int = 3) -> DataFrame:
+    """At most `cap` converted rows per source, and `cap` wherever the source has that many that can be converted. `convert` may drop rows
+    and has to keep `source` and `key`. The first pass converts a stable sample of `spare` * `cap` rows per source; sources that come
+    out short, and have rows left, are filled up from the next rows of the same order, each pass looking at twice as many. What a pass
+    converted is written, so nothing is converted twice."""
+    order = [draws.rank_key(seed, F.col(key)), F.col(key)]
+    place = f"_rank_{key}"
+    done, seen, size = None, 0, spare * cap
+    while True:
+        asked = rows if done is None else rows.join(open_ones, source, "left_semi")
+        ranked = top_per_group(asked, [source], order, seen + size, [key], place).where(F.col(place) > seen)
+        part = materialise(convert(ranked.drop(place)).join(ranked.select(F.col(source).alias("_s"), F.col(key).alias("_k"), place),
+                                                            F.col(source).eqNullSafe(F.col("_s")) & (F.col(key) == F.col("_k"))).drop("_s", "_k"), "converted")
+        done = part if done is None else done.unionByName(part)
+        seen, size = seen + size, 2 * size
+        have = done.groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+        all_of = rows.groupBy(source).agg(F.count(F.lit(1)).alias("_all"))
+        open_ones = materialise(all_of.join(have, F.col(source).eqNullSafe(F.col("_s")), "left").where((F.coalesce("_n", F.lit(0)) < cap) & (F.col("_all") > seen)).select(source), "short_sources")
+        if open_ones.head() is None:
+            return top_per_group(done, [source], [F.col(place)], cap, [key], "_r").drop("_r", place)
 
 
 def distractors(rows: DataFrame, contexts: DataFrame, key: str, doc: str, k: int = 3, seed: int = 0) -> DataFrame:
     """`k` passages from other documents for each row: (key, rank, doc of the passage, text); all others where there are fewer.
     Passages are numbered densely in a hashed order, bucket by bucket; a row draws a place and takes the passages from there
-    on. It looks at as many places more as the longest document has passages, so its own never cost it one."""
+    on; where some of them are its own, it goes on from there."""
     from pyspark.sql import Window
     size = contexts.agg(F.count(F.lit(1)).alias("_n"))
-    most = contexts.groupBy(doc).agg(F.count(F.lit(1)).alias("_m")).agg(F.coalesce(F.max("_m"), F.lit(0)).alias("_m"))
     buckets = F.greatest(F.lit(1), F.floor(size.scalar() / 100_000)).cast("int")
     held = contexts.select(F.col(doc).alias("other"), F.col("text").alias("passage")).withColumn(
         "_in", draws.pick_index(seed, buckets, F.col("other"), salt="place"))
@@ -294,10 +327,17 @@ def distractors(rows: DataFrame, contexts: DataFrame, key: str, doc: str, k: int
     held = held.withColumn("_no", F.row_number().over(within)).join(starts, "_in").withColumn("_at", F.col("_start") + F.col("_no") - 1)
     asked = rows.select(key, doc).withColumn("_n", size.scalar()).filter("_n > 0")
     first = F.floor(draws.unit(seed, F.col(key), salt="look") * F.col("_n"))
-    asked = asked.withColumn("_first", first).withColumn("_m", most.scalar()).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.col("_m") + k) - 1))).withColumn("_at", F.pmod(F.col("_first") + F.col("_j"), F.col("_n")))
-    met = asked.join(held.select("_at", "other", "passage"), "_at").filter(F.col("other") != F.col(doc))
-    return top_per_group(met, [key], [F.col("_j")], k, ["other"]).select(key, "rank", "other", "passage")
+    open_ones, found, looked, step = materialise(asked.withColumn("_first", first), "looking"), None, 0, k
+    held = materialise(held.select("_at", "other", "passage"), "places")
+    while True:  # k places more for rows that are still short, then 2k, 4k, ...: only rows inside a long document of their own go on
+        tried = open_ones.withColumn("_j", F.explode(F.sequence(F.lit(looked), F.least(F.col("_n"), F.lit(looked + step)) - 1)))
+        met = tried.withColumn("_at", F.pmod(F.col("_first") + F.col("_j"), F.col("_n"))).join(held, "_at").filter(F.col("other") != F.col(doc)).select(key, "_j", "other", "passage")
+        found = materialise(met if found is None else found.unionByName(met), "distractors")
+        looked, step = looked + step, 2 * step
+        have = found.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_have"))
+        open_ones = materialise(open_ones.join(have, F.col(key) == F.col("_key"), "left").where((F.coalesce("_have", F.lit(0)) < k) & (F.col("_n") > looked)).drop("_key", "_have"), "looking")
+        if open_ones.head() is None:
+            return top_per_group(found, [key], [F.col("_j")], k, ["other"]).select(key, "rank", "other", "passage")
 
 
 # ---- translations -----------------------------------------------------------------------------------------------------------

@@ -3,9 +3,12 @@ whatever columns it is grouped by; `scored` adds the columns that the metrics re
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.binding import let
 from plumbline.functions import draws, fixed, maths
 from plumbline.operators.ranking import latency_ranks, order_statistics, standings
 
@@ -68,18 +71,20 @@ def worst_families(rows: DataFrame, family: str = "family", n: int = 6) -> DataF
 def temperature_fit(predictions: DataFrame, logits: str = "logits", low: int = 10, high: int = 60, step: int = 20
                     ) -> DataFrame:
     """The temperature of the grid low/step..high/step with the lowest mean negative log-likelihood, smallest first on
-    ties: (temperature, nll). Each row spreads over the fixed grid and is summed up again before the shuffle."""
-    grid = F.array(*[F.lit(t / step) for t in range(low, high + 1)])
+    ties: (temperature, nll). The grid's averages are so many sums of one aggregate; no row is spread."""
+    grid = [t / step for t in range(low, high + 1)]
     x, gold = F.col(logits), F.element_at(F.col(logits), F.col("gold_pos"))
 
-    def at(t: Column) -> Column:
-        top = F.array_max(x)
+    def at(t: Column, top: Column) -> Column:
         z = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp((v - top) / t))
-        return F.struct(t.alias("temperature"), maths.nll(F.exp((gold - top) / t) / z).alias("nll"))
+        return maths.nll(F.exp((gold - top) / t) / z)
 
-    return (predictions.select(F.explode_outer(F.transform(grid, at)).alias("s")).groupBy("s.temperature")
-            .agg(F.avg("s.nll").alias("nll")).agg(F.min_by("temperature", F.struct(
-                F.round("nll", 12), "temperature")).alias("temperature"), F.min("nll").alias("nll")))
+    losses = let(F.array_max(x), lambda top: F.transform(F.array(*[F.lit(t) for t in grid]), lambda t: at(t, top)))
+    rows = predictions.select(F.explode_outer(F.array(losses)).alias("s"))  # a generator's output is computed once for all sums
+    means = rows.agg(*[F.avg(F.get("s", i)).alias(f"m{i}") for i in range(len(grid))])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("temperature"), F.col(f"m{i}").alias("nll")) for i, t in enumerate(grid)]))
+    return means.select(each.alias("g")).select("g.*").agg(
+        F.min_by("temperature", F.struct(F.round("nll", 12), "temperature")).alias("temperature"), F.min("nll").alias("nll"))
 
 
 def selective(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -189,18 +194,21 @@ def choose_candidate(scores: DataFrame, sets: int = 3) -> DataFrame:
                                      ).select("size", "b.candidate", "b.mean")
 
 
-def bootstrap_interval(rows: DataFrame, key: str, repeats: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile bootstrap of accuracy. Each row gets a Poisson(1) weight per repeat from its hash, so resampling needs
-    no shuffle of rows; the repeats are summed next to the scan."""
-    import math
-    cuts, total = [], 0.0
-    for k in range(12):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    u = draws.unit(seed, F.col(key), F.col("_b"), salt="bootstrap")
-    weight = sum(((u >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
-    spread = rows.select(key, "correct", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_b")).withColumn("_w", weight)
-    runs = spread.groupBy("_b").agg((F.sum(F.col("_w") * F.col("correct").cast("int")) / F.sum("_w")).alias("acc"))
+def poisson_draw(n: Column, u: Column, v: Column) -> Column:
+    """A Poisson draw of mean `n` from two uniform draws: a normal one (Box-Muller), corrected for skew, rounded, at least 0."""
+    z = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
+    return F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n) * z + (z * z - 1) / 6 + 0.5).cast("double"))
+
+
+def bootstrap_interval(rows: DataFrame, repeats: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Percentile bootstrap of accuracy: (low, high). Resampling rows with Poisson(1) weights only needs the weight of the correct ones and
+    that of the others, which are Poisson with their counts as means; so the table is counted once and each repeat draws two
+    numbers, whatever the number of rows."""
+    counts = rows.agg(F.count_if("correct").alias("right"), F.count_if(~F.col("correct")).alias("wrong"))
+    each = counts.select("right", "wrong", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_b"))
+    u = lambda name: draws.unit(seed, F.col("_b"), salt=name)
+    drawn = each.select(poisson_draw(F.col("right"), u("right-u"), u("right-v")).alias("r"), poisson_draw(F.col("wrong"), u("wrong-u"), u("wrong-v")).alias("w"))
+    runs = drawn.select(F.try_divide(F.col("r"), F.col("r") + F.col("w")).alias("acc"))
     tail = (1 - level) / 2
     return runs.agg(F.percentile("acc", F.lit(tail)).alias("low"), F.percentile("acc", F.lit(1 - tail)).alias("high"))
 

@@ -193,10 +193,12 @@ def option_letters(t):
         "vec_id", F.col("p").cast("bigint").alias("pos"), "letter")
 
 
-@query("micro_batches", f"""WITH p AS (SELECT doc_id, n_chars, CAST(floor({sql_unit('doc_id', salt='pool')} * ceil((SELECT count(*) FROM documents) / 128.0)) AS INTEGER) AS pool FROM documents)
-    SELECT doc_id, pool, CAST((row_number() OVER (PARTITION BY pool ORDER BY n_chars, {sql_key('doc_id')}) - 1) // 8 AS INTEGER) AS batch FROM p""")
+@query("micro_batches", f"""WITH p AS (SELECT doc_id, n_chars, {sql_key('doc_id')} AS draw, CAST((row_number() OVER (ORDER BY {sql_key('doc_id')}, doc_id) - 1) // 128 AS INTEGER) AS pool FROM documents),
+    b AS (SELECT doc_id, pool, CAST((row_number() OVER (PARTITION BY pool ORDER BY n_chars, draw, doc_id) - 1) // 8 AS INTEGER) AS batch FROM p),
+    s AS (SELECT pool, batch, row_number() OVER (ORDER BY {sql_key('pool', 'batch', salt='batch')}, pool, batch) - 1 AS step FROM (SELECT DISTINCT pool, batch FROM b))
+    SELECT doc_id, pool, batch, step FROM b JOIN s USING (pool, batch)""")
 def micro_batches(t):
-    return curation.micro_batches(t.documents.select("doc_id", "n_chars"), "doc_id", "n_chars").select("doc_id", "pool", "batch")
+    return curation.micro_batches(t.documents.select("doc_id", "n_chars"), "doc_id", "n_chars").select("doc_id", "pool", "batch", "step")
 
 
 @query("reduced_options", f"""WITH {PREDS}, o AS (SELECT vec_id, i, probs[i] AS p, i = list_position(probs, top) AS gold FROM scored, range(1, 11) r(i)),
@@ -220,9 +222,18 @@ def job_plan(t):
     return curation.chat_jobs(t.customer.select(F.col("c_custkey").alias("i"))).select("id", "job")
 
 
-@query("held_out_by_position", "SELECT c_custkey, c_custkey >= 900 AS held_out FROM customer")
+@query("held_out_by_position", f"""SELECT c_custkey, row_number() OVER (ORDER BY {sql_key('c_custkey', seed='5')}, c_custkey) - 1 AS position,
+    row_number() OVER (ORDER BY {sql_key('c_custkey', seed='5')}, c_custkey) > 900 AS held_out FROM customer""")
 def held_out_by_position(t):
-    return t.customer.select("c_custkey", (F.col("c_custkey") >= 900).alias("held_out"))
+    """Customers in a seeded order; those from the 900th on are held out."""
+    done = curation.held_out_from(t.customer, [draws.rank_key(5, F.col("c_custkey")), "c_custkey"], 900)
+    return done.select("c_custkey", "position", "held_out")
+
+
+@query("filled_caps", f"""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {sql_key('doc_id')}, doc_id) AS r FROM documents WHERE n_chars % 7 < 2) WHERE r <= 5""")
+def filled_caps(t):
+    """Five documents of every source that can be converted, though most of a sample can't."""
+    return curation.filled_caps(t.documents.select("doc_id", "source", "n_chars"), "source", "doc_id", 5, lambda rows: rows.where("n_chars % 7 < 2"), spare=1).select("doc_id", "source")
 
 
 @query("union_of_sources", "SELECT c_custkey AS id, c_mktsegment AS family, CAST(NULL AS INTEGER) AS size FROM customer UNION ALL SELECT p_partkey, p_type, p_size FROM part")

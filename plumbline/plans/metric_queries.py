@@ -109,13 +109,17 @@ def selective_accuracy(t):
     return metrics.selective(scored(t)).select(F.round("accuracy", 6).alias("accuracy"), F.round("coverage", 6).alias("coverage"))
 
 
-@query("bootstrap_interval", f"""WITH {PREDS}, cuts AS (SELECT sum(exp(-1) / factorial(CAST(k AS INTEGER))) OVER (ORDER BY k) AS c FROM range(0, 12) r(k)),
-    u AS (SELECT b, correct, {sql_unit('vec_id', 'b', salt='bootstrap')} AS u FROM scored, range(1, 201) r(b)),
-    w AS (SELECT b, correct, (SELECT count(*) FROM cuts WHERE u >= c) AS w FROM u),
-    acc AS (SELECT b, sum(w * CAST(correct AS INTEGER)) / sum(w) AS acc FROM w GROUP BY b)
+def _sql_poisson(n: str, name: str) -> str:
+    z = f"(sqrt(-2 * ln(1 - {sql_unit('b', salt=name + '-u')})) * cos(2 * pi() * {sql_unit('b', salt=name + '-v')}))"
+    return f"greatest(0.0, floor({n} + sqrt({n}) * {z} + ({z} * {z} - 1) / 6 + 0.5))"
+
+
+@query("bootstrap_interval", f"""WITH {PREDS}, counts AS (SELECT count(*) FILTER (correct) AS n1, count(*) FILTER (NOT correct) AS n0 FROM scored),
+    drawn AS (SELECT {_sql_poisson('n1', 'right')} AS r, {_sql_poisson('n0', 'wrong')} AS w FROM counts, range(1, 201) x(b)),
+    acc AS (SELECT r / (r + w) AS acc FROM drawn)
     SELECT round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.975), 6) AS high FROM acc""")
 def bootstrap_interval(t):
-    return metrics.bootstrap_interval(scored(t), "vec_id").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return metrics.bootstrap_interval(scored(t)).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("order_average", """WITH k AS (SELECT vec_id, i AS pos, CAST(embedding[i] AS DOUBLE) AS a, CAST(embedding[11 - i] AS DOUBLE) AS b FROM embeddings, range(1, 11) r(i))
