@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions import fixed, text
 from plumbline.operators import leakage, requests, scoring
@@ -80,29 +79,54 @@ def checked_replies(replies: DataFrame, kind: Callable[[Column], Column], suppor
         "_known", "_s", "_j")
 
 
-def live_queries(turns: DataFrame, last: int = 2, ttl_ms: int | None = 86_400_000) -> DataFrame:
-    """The query text of every conversation that got turns: its `last` newest user turns, by turn number, held in keyed
-    state. A late turn takes its place by number; state goes away after `ttl_ms` without turns. A
-    time-out asks for another batch again and again, so a run to the end of the input (availableNow) needs `ttl_ms` None."""
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = dict(zip(*state.get)) if state.exists else {}
-        for batch in batches:
-            users = batch[batch["role"] == "user"]
-            held.update(zip((int(t) for t in users["turn"]), users["text"]))
-        newest = sorted(held)[-last:]
-        if newest:
-            said = [held[t] for t in newest]
-            state.update((newest, said))
-            if ttl_ms is not None:
-                state.setTimeoutDuration(ttl_ms)
-            yield pd.DataFrame({"conv_id": [key[0]], "turn": [newest[-1]], "query": [" ".join(said)]})
-
-    return turns.groupBy("conv_id").applyInPandasWithState(
-        update, "conv_id bigint, turn int, query string", "turns array<int>, texts array<string>", "append",
-        GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+def live_queries(turns: DataFrame, last: int = 2, ttl_ms: int | None = 86_400_000, ts: str | None = None) -> DataFrame:
+    """The query text of every conversation that got turns: (conv_id, turn, query, seen), from its `last` newest user turns by turn number,
+    held as list state. A late turn takes its place by number; `seen` counts the user turns so far, so the row with most of them is
+    the newest. With `ts` (an event-time column with a watermark) a timer clears a conversation `ttl_ms` after its last turn;
+    without it the state has `ttl_ms` to live after each change. None keeps it for ever."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    timed = ts is not None and ttl_ms is not None
+
+    class Newest(StatefulProcessor):
+        def init(self, handle) -> None:
+            life = None if timed else ttl_ms
+            self.handle = handle
+            self.held = handle.getListState("turns", "turn int, text string", life)
+            self.count = handle.getValueState("seen", "n long", life)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            held = dict(self.held.get()) if self.held.exists() else {}
+            seen = self.count.get()[0] if self.count.exists() else 0
+            newest_time = None
+            for batch in rows:
+                users = batch[batch["role"] == "user"]
+                held.update(zip((int(t) for t in users["turn"]), users["text"]))
+                seen += len(users)
+                if timed and len(batch):
+                    newest_time = max(newest_time or 0, int(batch[ts].max().timestamp() * 1000))
+            kept = sorted(held)[-last:]
+            if kept:
+                self.held.put([(t, held[t]) for t in kept])
+                self.count.update((seen,))
+                yield pd.DataFrame({"conv_id": [key[0]], "turn": [kept[-1]], "query": [" ".join(held[t] for t in kept)], "seen": [seen]})
+            if newest_time is not None:
+                for old in list(self.handle.listTimers()):
+                    newest_time = max(newest_time, old - ttl_ms)
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(newest_time + ttl_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.held.clear()
+            self.count.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = "EventTime" if timed else "None" if ttl_ms is None else "ProcessingTime"
+    return turns.groupBy("conv_id").transformWithStateInPandas(Newest(), "conv_id bigint, turn int, query string, seen bigint", "append", mode)
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema, files_per_batch: int = 1) -> DataFrame:
