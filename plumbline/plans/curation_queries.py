@@ -282,13 +282,13 @@ def weighted_nations(t):
     return curation.weighted_join(t.supplier.select("s_suppkey"), dim, "weight", draws.unit(0, F.col("s_suppkey"), salt="nation")).select("s_suppkey", "n_name")
 
 
-@query("pair_counters", """WITH p AS (SELECT l_orderkey, count(*) AS halves, count(*) FILTER (l_linenumber <= 2 AND l_quantity >= 10) AS kept, min(l_returnflag) FILTER (l_linenumber <= 2 AND l_quantity >= 10) AS lo,
-        max(l_returnflag) FILTER (l_linenumber <= 2 AND l_quantity >= 10) AS hi FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
+@query("pair_counters", """WITH p AS (SELECT l_orderkey, (l_linenumber + 1) // 2 AS pair, count(*) AS halves, count(*) FILTER (l_quantity >= 10) AS kept, min(l_returnflag) FILTER (l_quantity >= 10) AS lo,
+        max(l_returnflag) FILTER (l_quantity >= 10) AS hi FROM lineitem GROUP BY 1, 2)
     SELECT count(*) FILTER (kept > 0) AS templates, CAST(sum(halves) AS BIGINT) AS items_in, CAST(sum(kept) AS BIGINT) AS items_kept, CAST(sum(halves - kept) AS BIGINT) AS low_confidence, count(*) FILTER (kept = 2 AND lo <> hi) AS contrastive_pairs_kept FROM p""")
 def pair_counters(t):
-    """Line items 1 and 2 are the halves of a pair, the return flag is the label, a small quantity means low confidence."""
+    """Line items 2k - 1 and 2k are the halves of a pair, the return flag is the label, a small quantity means low confidence."""
     kept = F.col("l_quantity") >= 10
-    p = t.lineitem.filter("l_linenumber <= 2").groupBy("l_orderkey").agg(
+    p = t.lineitem.groupBy("l_orderkey", F.floor((F.col("l_linenumber") + 1) / 2).alias("pair")).agg(
         F.count(F.lit(1)).alias("halves"), F.count_if(kept).alias("kept"), F.min(F.when(kept, F.col("l_returnflag"))).alias("lo"), F.max(F.when(kept, F.col("l_returnflag"))).alias("hi"))
     return p.agg(F.count_if(F.col("kept") > 0).alias("templates"), F.sum("halves").alias("items_in"), F.sum("kept").alias("items_kept"),
                  F.sum(F.col("halves") - F.col("kept")).alias("low_confidence"), F.count_if((F.col("kept") == 2) & (F.col("lo") != F.col("hi"))).alias("contrastive_pairs_kept"))

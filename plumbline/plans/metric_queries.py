@@ -13,8 +13,9 @@ LANGS = ["en", "de", "fr", "es", "it"]
 
 
 def predictions(t):
-    """Ten option logits per vector; two neighbouring vectors are the halves of a pair."""
-    logits = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 20)
+    """Ten option logits per vector, each the sum of every tenth of its numbers; two neighbouring vectors are the halves of a pair."""
+    logits = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.aggregate(
+        F.filter("embedding", lambda x, j: (j + 1) % 10 == i % 10), F.lit(0.0), lambda a, x: a + x.cast("double")) * 20)
     return t.embeddings.select(
         "vec_id", (F.col("label") + 1).alias("gold_pos"), F.floor(F.col("vec_id") / 2).alias("pair_id"),
         F.concat(F.lit("family_"), F.pmod("vec_id", F.lit(7)).cast("string")).alias("family"),
@@ -26,7 +27,7 @@ def scored(t):
 
 
 PREDS = """raw AS (SELECT vec_id, label + 1 AS gold_pos, vec_id // 2 AS pair_id, 'family_' || (vec_id % 7) AS family,
-        ['en','de','fr','es','it'][vec_id % 5 + 1] AS lang, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 20) AS logits FROM embeddings),
+        ['en','de','fr','es','it'][vec_id % 5 + 1] AS lang, list_transform(range(1, 11), lambda i: 20 * list_sum(list_transform(list_filter(range(1, len(embedding) + 1), lambda j: j % 10 = i % 10), lambda j: CAST(embedding[j] AS DOUBLE)))) AS logits FROM embeddings),
     ex AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM raw),
     pr AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM ex),
     scored AS (SELECT *, list_max(probs) AS top, list_position(probs, list_max(probs)) = gold_pos AS correct, probs[gold_pos] AS p_gold,
@@ -122,42 +123,39 @@ def bootstrap_interval(t):
     return metrics.bootstrap_interval(scored(t)).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("order_average", """WITH k AS (SELECT vec_id, i AS pos, CAST(embedding[i] AS DOUBLE) AS a, CAST(embedding[11 - i] AS DOUBLE) AS b FROM embeddings, range(1, 11) r(i))
+@query("order_average", """WITH k AS (SELECT vec_id, i AS pos, CAST(embedding[i] AS DOUBLE) AS a, CAST(embedding[65 - i] AS DOUBLE) AS b FROM embeddings, range(1, 65) r(i))
     SELECT vec_id, CAST(pos AS VARCHAR) AS key, round((a + b) / 2, 6) AS prob FROM k""")
 def order_average(t):
-    shown = F.slice("embedding", 1, 10)
+    shown = F.col("embedding")
     runs = t.embeddings.select("vec_id", F.posexplode(shown).alias("i", "p")).unionByName(
         t.embeddings.select("vec_id", F.posexplode(F.reverse(shown)).alias("i", "p")))
     runs = runs.select("vec_id", (F.col("i") + 1).cast("string").alias("key"), F.col("p").cast("double").alias("prob"))
     return metrics.average_orders(runs, "vec_id").withColumn("prob", F.round("prob", 6))
 
 
-@query("letter_share", """WITH tok AS (SELECT vec_id, i, [chr(CAST(64 + i AS INTEGER)), chr(CAST(54 + i AS INTEGER))][CAST(i > 10 AS INTEGER) + 1] AS token,
-        exp(CAST(embedding[i] AS DOUBLE)) AS p FROM embeddings, range(1, 21) r(i)),
-    s AS (SELECT vec_id, token, sum(p) AS p FROM (SELECT vec_id, CASE WHEN i > 10 THEN chr(CAST(54 + i AS INTEGER)) ELSE chr(CAST(64 + i AS INTEGER)) END AS token, p FROM tok) GROUP BY ALL),
+@query("letter_share", """WITH s AS (SELECT vec_id, chr(CAST(65 + (i - 1) % 10 AS INTEGER)) AS token, sum(exp(CAST(embedding[i] AS DOUBLE))) AS p FROM embeddings, range(1, 65) r(i) GROUP BY ALL),
     t AS (SELECT vec_id, max_by(token, p) AS top, sum(p) FILTER (token IN ('A','B','C','D')) AS mass FROM s GROUP BY vec_id)
     SELECT round(avg(CAST(top IN ('A','B','C','D') AS DOUBLE)), 6) AS letter_top, round(avg(mass), 6) AS letter_mass FROM t""")
 def letter_share(t):
-    """The first twenty numbers are log-probabilities of ten tokens, each once with and once without a leading space."""
+    """The numbers are log-probabilities of ten tokens, each with no, one or more leading spaces."""
     letter = lambda i: F.substring(F.lit(fixed.LETTERS), F.pmod(i, F.lit(10)) + 1, F.lit(1))
-    tokens = F.transform(F.slice("embedding", 1, 20), lambda x, i: F.struct(
-        F.when(i >= 10, F.concat(F.lit(" "), letter(i))).otherwise(letter(i)).alias("token"), x.cast("double").alias("logprob")))
+    tokens = F.transform("embedding", lambda x, i: F.struct(
+        F.concat(F.repeat(F.lit(" "), F.floor(i / 10).cast("int")), letter(i)).alias("token"), x.cast("double").alias("logprob")))
     seen = t.embeddings.select(maths.token_mass(tokens).alias("seen"))
     out = metrics.letter_share(seen, F.array(*[F.lit(c) for c in "ABCD"]))
     return out.select(F.round("letter_top", 6).alias("letter_top"), F.round("letter_mass", 6).alias("letter_mass"))
 
 
-@query("letter_probabilities", """WITH s AS (SELECT vec_id, i, exp(CAST(embedding[i] AS DOUBLE)) + exp(CAST(embedding[i + 10] AS DOUBLE)) AS p FROM embeddings, range(1, 9) r(i)),
+@query("letter_probabilities", """WITH s AS (SELECT vec_id, (i - 1) % 8 + 1 AS i, sum(exp(CAST(embedding[i] AS DOUBLE))) AS p FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2),
     f AS (SELECT vec_id, min(p) * 0.5 AS floor FROM s GROUP BY 1),
     o AS (SELECT vec_id, i FROM embeddings, range(1, 11) r(i)),
     r AS (SELECT o.vec_id, o.i, power(coalesce(s.p, f.floor), 1 / 1.5) AS raw FROM o JOIN f USING (vec_id) LEFT JOIN s ON s.vec_id = o.vec_id AND s.i = o.i)
     SELECT vec_id, i - 1 AS pos, round(raw / sum(raw) OVER (PARTITION BY vec_id), 6) AS prob FROM r""")
 def letter_probabilities(t):
-    """Eight of ten option letters are seen; the other two get the floor."""
-    letter = lambda i: F.substring(F.lit(fixed.LETTERS), i + 1, F.lit(1))
-    both = F.concat(F.slice("embedding", 1, 8), F.slice("embedding", 11, 8))
-    tokens = F.transform(both, lambda x, i: F.struct(F.concat(F.when(i >= 8, F.lit(" ")).otherwise(F.lit("")),
-                                                              letter(F.pmod(i, F.lit(8)))).alias("token"), x.cast("double").alias("logprob")))
+    """Eight of ten option letters are seen, in eight spellings each; the other two get the floor."""
+    letter = lambda i: F.substring(F.lit(fixed.LETTERS), F.pmod(i, F.lit(8)) + 1, F.lit(1))
+    tokens = F.transform("embedding", lambda x, i: F.struct(
+        F.concat(F.repeat(F.lit(" "), F.floor(i / 8).cast("int")), letter(i)).alias("token"), x.cast("double").alias("logprob")))
     letters = F.array(*[F.lit(c) for c in fixed.LETTERS[:10]])
     rows = t.embeddings.select("vec_id", maths.token_mass(tokens).alias("seen"))
     return rows.select("vec_id", F.posexplode(maths.letter_probs(F.col("seen"), letters, 1.5)).alias("pos", "prob")).select(
