@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+import sys
+import types
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +64,15 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def once_per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` returns, made once in each worker process. This package's modules reach workers by value, so their globals are
+    made anew for every task; a module of our own in `sys.modules` stays as long as the process."""
+    kept = sys.modules.setdefault("_plumbline_kept", types.ModuleType("_plumbline_kept")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def bucket(columns: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
