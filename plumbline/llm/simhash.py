@@ -187,14 +187,3 @@ def group(docs: DataFrame) -> DataFrame:
     never the smallest unless alone."""
     rows = materialise(fingerprints(docs), "fingerprints")
     return rows.join(firsts(rows, "doc_id"), "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that stay: of each component the row with the smallest doc_id (null ids come last; of rows
-    with equal ids that with the smallest SHA-256 of its text, and one if texts are equal too)."""
-    sha = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
-    rows = materialise(fingerprints(docs.select("doc_id", "text", sha.alias("digest")), "digest"), "fingerprints")
-    stay = firsts(rows, "doc_id", "digest").select("root", F.col("least.doc_id").alias("_id"), F.col("least.digest").alias("_sha")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("_id"), sha.alias("_sha"))
-    same = rows["_id"].eqNullSafe(stay["_id"]) & (rows["_sha"] == stay["_sha"])
-    return rows.join(stay, same, "left_semi").dropDuplicates(["_id", "_sha"]).select("_doc.*")
