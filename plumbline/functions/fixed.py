@@ -124,6 +124,10 @@ HINT_DECLINE = (
     "briefly that you don't have that information and offer to pass the question to a person. Do not guess, "
     "and do not mention passages or this note.)"
 )
+QUESTION_TRANSLATE_PROMPT = (
+    "Translate this question into {lang}. Keep names and numbers as they are. Reply with the translation "
+    "only.\n\n{question}"
+)
 PAIRWISE_PROMPT = (
     "Two assistants answered the same user message. Which answer is more helpful, correct and well written?\n"
     "User message:\n{prompt}\n\nAnswer 1:\n{a}\n\nAnswer 2:\n{b}\n\n"

@@ -155,6 +155,44 @@ def teacher_chat(jobs: DataFrame, call: Call, path: str, says_unknown: Call | No
     return out.where("kept").drop("kept", "last")
 
 
+# ---- grounded questions -----------------------------------------------------------------------------------------------
+
+DISTRACTORS = 3
+
+
+def grounded_questions(rows: DataFrame, contexts: DataFrame, call: Call, path: str, says_unknown: Call | None = None, batches: int = 1, seed: int = 0) -> DataFrame:
+    """Replies to questions over their own passage among others: (id, lang, messages, response, answerable) of those that hold.
+
+    `rows` are (id, doc, context, question, span, lang): `span` is the verified answer, null or blank where the context has none, `lang` the
+    language to ask in, null for English. `contexts` (doc, text) give DISTRACTORS passages of other documents. Questions in another
+    language are translated first. The model is told the answer (or that there is none) in a private note behind the question, which is not
+    kept. A reply stays if it is whole and states the answer, or declines where there is none; foreign declines are left to
+    `says_unknown` (adds `verdict`). Every reply is in the journal at `path`, the dropped ones too, so none is asked for twice."""
+    english = F.lit("English")
+    foreign = F.col("lang").isNotNull()
+    asked = rows.withColumn("question", text.strip(F.col("question")))
+    translate = asked.where(foreign).select("id", F.array(prompts.message("user", filled(fixed.QUESTION_TRANSLATE_PROMPT, lang=F.col("lang"), question=F.col("question")))).alias("messages"))
+    said = distil(translate, "id", call, f"{path}/translated", batches).where("not truncated").select(F.col("id").alias("_id"), F.col("response").alias("_said"))
+    asked = asked.join(said, F.col("id") == F.col("_id"), "left").withColumn("question", F.when(foreign, F.col("_said")).otherwise(F.col("question"))).where("question is not null").drop("_id", "_said")
+    others = curation.distractors(asked.select("id", "doc"), contexts, "id", "doc", DISTRACTORS, seed).groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "passage"))).alias("_others"))
+    shown = F.concat(F.array(text.strip(F.col("context"))), F.coalesce(F.transform("_others", lambda o: o["passage"]), F.array().cast("array<string>")))
+    asked = asked.join(others, F.col("id") == F.col("_id"), "left").withColumn("passages", draws.shuffle_array(shown, seed, F.col("id"), lambda p: F.md5(p))).drop("_id", "_others")
+    answerable = text.strip(F.coalesce("span", F.lit(""))) != ""
+    hint = F.when(answerable, filled(fixed.HINT_ANSWER, span=F.col("span"), lang=F.coalesce("lang", english))).otherwise(filled(fixed.HINT_DECLINE, lang=F.coalesce("lang", english)))
+    plain = asked.withColumn("kept_messages", prompts.knowledge_messages(F.array(prompts.message("user", F.col("question"))), F.col("passages")))
+    noted = F.concat(F.expr("slice(kept_messages, 1, size(kept_messages) - 1)"), F.array(prompts.message("user", F.concat("question", F.lit("\n\n"), hint))))
+
+    def one(todo: DataFrame) -> DataFrame:
+        got = call(todo.withColumn("messages", noted)).withColumn("response", text.strip(F.col("response")))
+        got = got if says_unknown is None else says_unknown(got)
+        declines = None if says_unknown is None else yes(F.col("verdict"))
+        holds = curation.grounded_reply_kept(F.col("response"), F.col("span"), F.col("lang").isNotNull(), declines)
+        kept = curation.complete(F.col("finish_reason")) & (F.col("response") != "") & holds
+        return got.select("id", F.coalesce("lang", english).alias("lang"), F.col("kept_messages").alias("messages"), "response", answerable.alias("answerable"), F.coalesce(kept, F.lit(False)).alias("kept"), "error")
+
+    return resumed(plain, "id", one, f"{path}/replies", batches, F.col("error").isNull()).where("kept").drop("kept", "error")
+
+
 # ---- judged comparisons -----------------------------------------------------------------------------------------------
 
 def yes(verdict: Column) -> Column:

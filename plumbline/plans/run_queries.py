@@ -185,3 +185,33 @@ def teacher_chats(t):
                         F.when(F.col("conv_id") % 3 == 0, "You are the customer chat assistant.").alias("system"), F.array(F.get("q", 0)["question"]).alias("passages"), questions.alias("questions"))
     done = model_runs.teacher_chat(jobs, teacher, fresh_path(t.spark, "teacher"), says_unknown)
     return done.select(F.col("id").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "lang", F.size("messages").cast("bigint").alias("n_messages"), "answerable", "truncated", "response")
+
+
+# ---- grounded questions -----------------------------------------------------------------------------------------------
+
+def pupil(rows):
+    """Translates by shouting. States the answer of its note to three in four questions, declines where it is told to in most cases."""
+    last = F.element_at("messages", -1)["content"]
+    first = F.substring(F.md5(F.substring_index(last, "\n\n", 1)), 1, 1)
+    told = F.regexp_extract(last, 'the answer is "([^"]*)"', 1)
+    reply = F.when(first < "c", F.when(told != "", F.concat(F.lit("It is "), F.upper(told), F.lit("."))).otherwise(F.lit("I don't have that information."))).otherwise("Around 7 or so.")
+    said = F.when(last.startswith("Translate this question"), F.upper(F.substring_index(last, "\n\n", -1))).otherwise(reply)
+    return rows.withColumn("error", F.lit(None).cast("string")).withColumn("response", said).withColumn("finish_reason", F.lit("stop"))
+
+
+@query("grounded_questions", """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper('What is ' || doc_id || ' about?') ELSE 'What is ' || doc_id || ' about?' END AS question,
+        CASE WHEN doc_id % 2 = 0 THEN 'part ' || doc_id END AS span, CASE WHEN doc_id % 5 = 0 THEN 'German' ELSE 'English' END AS lang FROM documents),
+    s AS (SELECT *, CASE WHEN substr(md5(question), 1, 1) >= 'c' THEN 'Around 7 or so.' WHEN span IS NULL THEN 'I don''t have that information.' ELSE 'It is ' || upper(span) || '.' END AS response FROM r)
+    SELECT doc_id, lang, span IS NOT NULL AS answerable, response, CAST(4 AS BIGINT) AS passages, true AS own_passage FROM s
+    WHERE CASE WHEN span IS NULL THEN response LIKE 'I don%' WHEN lang = 'German' THEN contains(response, CAST(doc_id AS VARCHAR)) ELSE contains(lower(response), lower(span)) END""")
+def grounded_questions(t):
+    """A question about every document, half of them with an answer and every fifth in another language."""
+    start = F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 200), r"\s+", " "))
+    asked = F.concat(F.lit("What is "), F.col("doc_id").cast("string"), F.lit(" about?"))
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc"), start.alias("context"), asked.alias("question"),
+                              F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("part "), F.col("doc_id").cast("string"))).alias("span"), F.when(F.col("doc_id") % 5 == 0, "German").alias("lang"))
+    contexts = t.documents.select(F.col("doc_id").alias("doc"), start.alias("text"))
+    done = model_runs.grounded_questions(rows, contexts, pupil, fresh_path(t.spark, "grounded"), says_unknown)
+    known = F.get("messages", 0)["content"]
+    own = known.contains(F.concat(F.lit("] "), F.col("id").cast("string"), F.lit(": ")))
+    return done.select(F.col("id").alias("doc_id"), "lang", "answerable", "response", F.regexp_count(known, F.lit(r"\n\n\[[1-9]\] |Knowledge:\n\[1\] ")).cast("bigint").alias("passages"), own.alias("own_passage"))
