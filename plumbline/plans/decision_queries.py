@@ -139,18 +139,24 @@ def training_samples(t):
     return done.select("id", "answer", "explained", F.length("tail").alias("tail_chars"), F.md5(F.col("messages")[1]["content"]).alias("prompt_md5"))
 
 
-@query("language_decisions", f"""WITH docs AS (SELECT doc_id, lang, text || ' ' || source AS state, source FROM documents), opts AS (SELECT DISTINCT source FROM documents),
-    seen AS (SELECT doc_id, lang, source AS gold, {sql_retrieval_words('state')} AS w FROM docs), ranked AS (SELECT source, {sql_retrieval_words('source')} AS o FROM opts),
-    hit AS (SELECT doc_id, lang, max(CAST(len(list_intersect(w, o)) > 0 AND gold = source AS INTEGER)) AS ok FROM seen JOIN ranked ON gold = source GROUP BY ALL)
-    SELECT lang, count(*) AS n, round(avg(CAST(ok AS DOUBLE)), 6) AS accuracy FROM hit GROUP BY lang""")
+TONGUES = [("en", "that this from ation"), ("de", "der die das und ich"), ("fr", "le les des une est"), ("es", "el los las una por")]
+SQL_TONGUES = ", ".join(f"({i}, '{k}', '{k} {d}')" for i, (k, d) in enumerate(TONGUES))
+
+
+@query("language_decisions", f"""WITH runs AS (SELECT doc_id, lang, 'whole' AS run, text AS state FROM documents UNION ALL SELECT doc_id, lang, 'start', substr(text, 1, 300) FROM documents WHERE doc_id % 7 <> 0),
+    options AS (SELECT i, k, {sql_retrieval_words('d')} AS o FROM (VALUES {SQL_TONGUES}) v(i, k, d)),
+    seen AS (SELECT doc_id, lang, run, list_distinct({sql_retrieval_words("coalesce(state, '')")}) AS w FROM runs WHERE doc_id IN (SELECT doc_id FROM runs WHERE run = 'start')),
+    best AS (SELECT doc_id, lang, run, arg_min(k, (-len(list_distinct(list_intersect(w, o))), i)) AS picked FROM seen, options GROUP BY ALL)
+    SELECT run, lang, count(*) AS n, round(avg(CAST(picked = lang AS DOUBLE)), 6) AS accuracy FROM best GROUP BY run, lang""")
 def language_decisions(t):
-    """An 18-and-more-option choice per document, decided by tournament, scored per language."""
-    keys = [f"src{i}" for i in range(20)]
-    rows = t.documents.select("doc_id", "lang", "source", F.concat_ws(" ", "text", "source").alias("state"))
-    done = scoring.ask(rows, "state", "Which source?", "choice", [(k, "") for k in keys])
-    picked = F.get(F.array(*[F.lit(k) for k in keys]), maths.first_top(F.col("probs")) - 1)
-    right = done.withColumn("correct", picked == F.col("source"))
-    return right.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.share(F.col("correct")), 6).alias("accuracy"))
+    """The language of every document, decided from the whole text and from its start; both runs count the documents that both have."""
+    run = lambda name, state: t.documents.select("doc_id", "lang", F.lit(name).alias("run"), F.coalesce(state, F.lit("")).alias("state"))
+    start = run("start", F.substring("text", 1, 300)).where("doc_id % 7 <> 0")
+    done = scoring.ask(run("whole", F.col("text")).unionByName(start), "state", "Which language is this?", "choice", TONGUES)
+    picked = F.get(F.array(*[F.lit(k) for k, _ in TONGUES]), maths.first_top(F.col("probs")) - 1)
+    both = done.select("doc_id", "lang", "run", (picked == F.col("lang")).alias("correct"))
+    same = both.join(start.select("doc_id"), "doc_id", "left_semi")
+    return same.groupBy("run", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(metrics.share(F.col("correct")), 6).alias("accuracy"))
 
 
 GUARD_POLICY = [("run", "Read-only or easily reversible commands on non-production systems."), ("ask_human", "Commands that change real data or configuration but can be undone."),
@@ -170,11 +176,22 @@ def command_guard(t):
     return done.select("page_id", "choice", "confidence")
 
 
-@query("sql_functions", f"""SELECT conv_id, turn, md5(array_to_string({sql_retrieval_words('text')}, ' ')) AS words_md5 FROM conversations""")
+@query("sql_functions", f"""WITH seen AS (SELECT conv_id, turn, {sql_retrieval_words('text')} AS w FROM conversations),
+    options AS (SELECT 'team' AS q, i, k, {sql_retrieval_words("replace(k, '_', ' ') || ' ' || d")} AS o FROM (VALUES {SQL_TONGUES.replace("'en en", "'en").replace("'de de", "'de").replace("'fr fr", "'fr").replace("'es es", "'es")}) v(i, k, d)
+        UNION ALL SELECT 'yes', i, k, {sql_retrieval_words("k || ' ' || d")} FROM (VALUES (0, 'true', 'the die le'), (1, 'false', 'der la')) v(i, k, d)
+        UNION ALL SELECT 'rate', i, k, {sql_retrieval_words("k || ' ' || d")} FROM (VALUES (0, '0', 'und une'), (1, '1', 'des das'), (2, '2', 'los que')) v(i, k, d)),
+    shared AS (SELECT conv_id, turn, w, q, i, k, exp(len(list_distinct(list_intersect(w, o)))) AS e FROM seen, options),
+    probs AS (SELECT *, e / sum(e) OVER (PARTITION BY conv_id, turn, q) AS p, count(*) OVER (PARTITION BY conv_id, turn, q) AS n FROM shared)
+    SELECT conv_id, turn, md5(array_to_string(any_value(w), ' ')) AS words_md5, arg_min(k, (-e, i)) FILTER (q = 'team') AS choice,
+        round(greatest(0, 1 + sum(p * ln(p)) FILTER (q = 'team') / ln(4)), 4) AS sure, round(sum(p) FILTER (q = 'yes' AND k = 'true'), 4) AS yes,
+        round(sum(p * i) FILTER (q = 'rate'), 4) AS level, CASE WHEN conv_id % 2 = 0 THEN '2026-03-04' END AS day FROM probs GROUP BY conv_id, turn""")
 def sql_functions(t):
     scoring.register_functions(t.spark)
     t.conversations.createOrReplaceTempView("turns_for_sql")
-    return t.spark.sql("SELECT conv_id, turn, md5(array_join(retrieval_words(text), ' ')) AS words_md5 FROM turns_for_sql")
+    options = "array(" + ", ".join(f"named_struct('key', '{k}', 'description', '{d}')" for k, d in TONGUES) + ")"
+    return t.spark.sql(f"""SELECT conv_id, turn, md5(array_join(retrieval_words(text), ' ')) AS words_md5, decide(text, {options}) AS choice, confidence(option_probs(text, {options})) AS sure,
+        yes_no(text, 'the die le', 'der la') AS yes, rate(text, array('und une', 'des das', 'los que')) AS level,
+        CAST(get(date_mentions(CASE WHEN conv_id % 2 = 0 THEN 'paid on March 4, 2026' ELSE '' END), 0).date AS STRING) AS day FROM turns_for_sql""")
 
 
 @query("date_mentions_of_orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders")
