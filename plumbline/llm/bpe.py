@@ -2,26 +2,58 @@
 
 A merge only ever makes a token of the vocabulary. Where two neighbouring bytes never stand side by side inside any token, no
 merge can reach across: the place is a certain cut, and the two sides encode on their own. The fragments are short and repeat,
-so each distinct one is encoded once per worker and looked up afterwards.
+so each distinct one is encoded once per worker process, as long as its bounded memo holds it, and looked up afterwards.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import slices, texts, utf8
+from plumbline.llm.common import once_per_worker, slices, texts, utf8
 
 CHUNK_BYTES = 1 << 20
 FRAGMENTS_AT_ONCE = 200_000
-MEMO_ENTRIES, MEMO_BYTES = 250_000, 16 << 20
+MEMO_ENTRIES, MEMO_BYTES = 400_000, 24 << 20
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
-APOSTROPHE, NO_UTF8 = 0x27, 0xFF
+APOSTROPHE = 0x27
+
+
+class Distinct:
+    """Which of many byte strings are equal: two rolling hashes (sums of byte values times powers of an odd base, modulo 2^64) of every
+    string at once; equal strings have equal first hashes, and the second one confirms it."""
+
+    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+    def __init__(self) -> None:
+        self.values = [np.random.default_rng(7 + i).integers(0, 1 << 64, 256, np.uint64) for i in (0, 1)]
+        self.powers = [np.ones(1, np.uint64)] * 2
+        self.inverse = [np.ones(1, np.uint64)] * 2
+
+    def _up_to(self, n: int) -> None:
+        if len(self.powers[0]) < n:
+            run = lambda base: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+            self.powers = [run(b) for b in self.BASES]
+            self.inverse = [run(pow(b, -1, 1 << 64)) for b in self.BASES]
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An index of each different string, and for every string which of these it is."""
+        size = 1 << int(len(data)).bit_length()
+        self._up_to(size)
+        found = []
+        for value, power, inverse in zip(self.values, self.powers, self.inverse):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * power[:len(data)], dtype=np.uint64)])
+            found.append((total[ends] - total[starts]) * inverse[starts])
+        _, first, which = np.unique(found[0], return_index=True, return_inverse=True)
+        if (found[1] != found[1][first][which]).any():  # strings that differ share the first hash
+            _, first, which = np.unique(np.rec.fromarrays(found), return_index=True, return_inverse=True)
+        return first, which
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -32,30 +64,49 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Codec:
-    """Encoder and decoder of one tokenizer file of the `tokenizers` library (byte-level BPE without a normaliser). Ids
-    are those of ``Tokenizer.encode(text, add_special_tokens=False)``; a special token's string becomes its id, as there."""
+class Decoder:
+    """The bytes of each id of a tokenizer file of the `tokenizers` library (byte-level BPE); `special` are the added tokens."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            read = json.load(file)
+        latin = {ord(c): chr(b) for c, b in byte_alphabet().items()}
+        self.special = {t["content"].encode(): t["id"] for t in read["added_tokens"]}
+        plain = {i: t for t, i in read["model"]["vocab"].items()}
+        self.token = [b""] * (max([*plain, *self.special.values()]) + 1)
+        for i, raw in zip(plain, "\n".join(plain.values()).translate(latin | {10: "\u0100"}).split("\u0100")):
+            self.token[i] = raw.encode("latin-1")
+        for t, i in self.special.items():
+            self.token[i] = t
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; bytes that are no UTF-8 become the replacement character, unknown ids nothing."""
+        known = len(self.token)
+        return b"".join([self.token[i] for i in ids if 0 <= i < known]).decode("utf-8", "replace")
+
+
+class Codec(Decoder):
+    """Encoder and decoder of one tokenizer file (without a normaliser). Ids are those of
+    ``Tokenizer.encode(text, add_special_tokens=False)``; a special token's string becomes its id, as there."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        alphabet = byte_alphabet()
-        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        plain = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.encode() not in self.special}
-        self.token = [b""] * (max([*plain.values(), *self.special.values()]) + 1)
         inside = np.zeros((256, 256), bool)
-        for t, i in plain.items():
-            raw = bytes(alphabet[c] for c in t)
-            self.token[i] = raw
-            codes = np.frombuffer(raw, np.uint8)
-            inside[codes[:-1], codes[1:]] = True
-        for t, i in self.special.items():
-            self.token[i] = t
+        plain = set(range(len(self.token))) - set(self.special.values())
+        line = np.frombuffer(b"".join(self.token[i] for i in plain), np.uint8)
+        ends = np.cumsum(np.fromiter((len(self.token[i]) for i in plain), np.int64, len(plain))) - 1
+        follows = np.ones(max(len(line) - 1, 0), bool)
+        follows[ends[ends < len(follows)]] = False
+        inside[line[:-1][follows], line[1:][follows]] = True
         self.apart = ~inside
+        self.merged = self._merged(path)
+        self.distinct = Distinct()
         self.memo: dict[bytes, int] = {}
         self.memo_bytes = 0
         self.first, self.count, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
@@ -84,9 +135,35 @@ class Codec:
         start[1:] = self.apart[left, right] & whole & ~WHITE[left] & ((right & 0xC0) != 0x80) & (left != APOSTROPHE) & (right != APOSTROPHE)
         return start
 
-    def learn(self, fragments: Iterable[bytes]) -> None:
-        new = list(fragments)
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False)]
+    def _merged(self, path: str):
+        """bytes -> ids of one word, by merging the pair that makes the token of lowest id; None where that can differ from the file's
+        merges. It can't where every merge makes the next id: a token's bytes then have one way to come about, and
+        what is merged inside a token's bytes does not depend on what stands around them."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+        if made != list(range(256, 256 + len(made))) or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        ranks = {self.token[i]: i for i in range(256 + len(made))}
+        return tiktoken.Encoding("own", pat_str=r"\p{L}+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece if len(ranks) == 256 + len(made) else None
+
+    def _encoded(self, fragments: list[bytes]) -> list[list[int]]:
+        """Ids of each fragment. Letters with at most one space before them are one word to the splitter and are merged right away."""
+        out: list[list[int]] = [[]] * len(fragments)
+        alone = []
+        for i, f in enumerate(fragments):
+            if self.merged and (f[1:] if f[:1] == b" " else f).decode().isalpha():
+                out[i] = self.merged(f)
+            else:
+                alone.append(i)
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([fragments[i].decode() for i in alone], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        got = self._encoded(new)
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         at = len(self.flat)
         self.first = np.concatenate([self.first, at + np.cumsum(lengths) - lengths])
@@ -115,15 +192,17 @@ class Codec:
                 self.forget()
             some = slice(a, a + FRAGMENTS_AT_ONCE)
             first, last = int(starts[a]), int(ends[some][-1])
-            fragments = np.insert(data[first:last], starts[some][1:] - first, NO_UTF8).tobytes().split(bytes([NO_UTF8]))
-            here = [k for k in range(a, a + len(fragments)) if k in fixed] if fixed else []
-            for k in here:
-                fragments[k - a] = b""
-            found = self.look_up(fragments)
-            if len(unknown := np.flatnonzero(found < 0)):
-                unknown_ones = [fragments[k] for k in unknown.tolist()]
-                self.learn(set(unknown_ones))
-                found[unknown] = self.look_up(unknown_ones)
+            here = [k for k in range(a, min(a + FRAGMENTS_AT_ONCE, len(starts))) if k in fixed] if fixed else []
+            begin, end = starts[some] - first, ends[some] - first
+            end[[k - a for k in here]] = begin[[k - a for k in here]]  # their ids are put in below
+            each, which = self.distinct.of(data[first:last], begin, end)
+            fragments = [raw[first + i:first + j] for i, j in zip(begin[each].tolist(), end[each].tolist())]
+            known = self.look_up(fragments)
+            if len(unknown := np.flatnonzero(known < 0)):
+                new = [fragments[k] for k in unknown.tolist()]
+                self.learn(new)
+                known[unknown] = self.look_up(new)
+            found = known[which]
             self.hits += np.bincount(found, minlength=len(self.hits))
             n = self.count[found]
             shift = np.repeat(self.first[found] - (np.cumsum(n) - n), n)
@@ -153,33 +232,34 @@ class Codec:
         fixed.update((int(np.searchsorted(starts, i)), number) for i, _, number in spans)
         return starts
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that are no UTF-8 become the replacement character, unknown ids nothing."""
-        known = len(self.token)
-        return b"".join([self.token[i] for i in ids if 0 <= i < known]).decode("utf-8", "replace")
+
+def codec(path: str) -> Codec:
+    """One codec per worker process, with its memo."""
+    return once_per_worker(f"codec {path}", lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array<int>): the ids of each whole text. Null and empty texts have no ids; every row comes back once,
-    repeated rows too; other columns are left out. `path` is a tokenizer file that the executors can read."""
+    repeated rows too, an empty table gives none; other columns are left out, whatever their names. `path` is a tokenizer file that the executors can read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        own = codec(path)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, CHUNK_BYTES):
-                ids, starts = codec.encode(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                ids, starts = own.encode(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """The rows of `tokens` (doc_id, ids) with `text`, the decoded ids. Null ids give null."""
+    """The rows of `tokens` (doc_id, ids) with `text`, the decoded ids. Null ids give null, no ids the empty text; other columns are left
+    out, repeated rows each come back, an empty table gives no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        own = once_per_worker(f"decoder {path}", lambda: Decoder(path))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([None if x.values is None else codec.decode(x.values.to_pylist()) for x in part.column(1)], pa.string())], ["doc_id", "ids", "text"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([None if x.values is None else own.decode(x.values.to_pylist()) for x in part.column(1)], pa.string())], ["doc_id", "ids", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

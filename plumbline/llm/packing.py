@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import CHUNK_BYTES, Codec
+from plumbline.llm.bpe import CHUNK_BYTES, codec
 from plumbline.llm.common import numbered, slices, texts, utf8
 from plumbline.session import materialise
 
@@ -148,11 +148,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     fields = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = Codec(path), np.array([end_id], "<u4")
+        own_codec, end = codec(path), np.array([end_id], "<u4")
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, CHUNK_BYTES):
-                ids, starts = codec.encode(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                ids, starts = own_codec.encode(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 rows: list[tuple] = []
                 for k, row in enumerate(range(a, b)):
                     own = np.concatenate([ids[starts[k]:starts[k + 1]].astype("<u4"), end])
