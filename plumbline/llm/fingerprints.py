@@ -1,13 +1,19 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 Every paragraph is hashed to a wide vector, and a document's fingerprint is the sum of its paragraphs' vectors: `LANES` numbers
-modulo 2^64, for equality, and `BUCKETS` numbers modulo 2^16 that add up signed hashed word shingles, for likeness. The sum does not
+modulo 2^64, for equality, and `BUCKETS` numbers modulo 2^32 that add up signed hashed word shingles, for likeness. The sum does not
 depend on the order of paragraphs, and paragraphs are put in or taken out by adding or subtracting their vectors.
+
+Likeness is 2 A.B / (A.A + B.B) for the counts A and B of two texts' shingles, estimated from the buckets: 1 for equal multisets, 0 for
+nothing in common. A shingle that stands m times in a text counts m * m, so a line that is repeated often weighs more than the
+same number of different lines.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import parts_for, text_bytes, texts
+from plumbline.llm.common import parts_for, texts
 from plumbline.llm.scoring import mixed
 
-LANES, BUCKETS, SHINGLE = 8, 256, 5
-RANGE_BYTES, MOST_RANGES = 2 << 20, 20_000
+LANES, BUCKETS, SHINGLE = 8, 1024, 5
+RANGE_BYTES, MOST_RANGES, IDS_A_RANGE = 2 << 20, 20_000, 8
 MEMO_ENTRIES = 500_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 class Fingerprint:
     def __init__(self, lanes: np.ndarray, sketch: np.ndarray):
-        self.lanes, self.sketch = lanes.astype(np.uint64), sketch.astype(np.int16)
+        self.lanes, self.sketch = lanes.astype(np.uint64), sketch.astype(np.int32)
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.lanes + other.lanes, self.sketch + other.sketch)
@@ -36,13 +42,13 @@ class Fingerprint:
         return Fingerprint(self.lanes - other.lanes, self.sketch - other.sketch)
 
     def __str__(self) -> str:
-        return base64.b64encode(self.lanes.astype("<u8").tobytes() + self.sketch.astype("<i2").tobytes()).decode()
+        return base64.b64encode(self.lanes.astype("<u8").tobytes() + zlib.compress(self.sketch.astype("<i4").tobytes(), 1)).decode()
 
     def likeness(self, other: Fingerprint) -> float:
-        """0 to 1: twice the shingles in common over all shingles, estimated from the length of the difference; 1 if equal."""
+        """0 to 1, see the module text; 1 if equal."""
         if (self.lanes == other.lanes).all():
             return 1.0
-        square = lambda x: float((x.astype(np.int64) ** 2).sum())
+        square = lambda x: float((x.astype(float) ** 2).sum())
         whole = square(self.sketch) + square(other.sketch)
         return 0.0 if not whole else min(1.0, max(0.0, 1 - square(self.sketch - other.sketch) / whole))
 
@@ -108,26 +114,32 @@ COMPARED = "n_chars long, edited_sha256 string, fingerprint string, edited_finge
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id and `COMPARED` for every row: each text beside its edited form and the text of the next document by ascending
-    doc_id (after the last: the first). Null ids come first, rows with equal ids follow each other by text.
-
-    Documents are dealt by ranges of doc_id, whose edges are quantiles, and the first document of each range goes to the range
-    before as well: neighbours meet in one shuffle of the texts, and a task reads its range in order without holding it."""
-    rows = texts(docs).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    ranges = min(MOST_RANGES, parts_for(text_bytes(docs), RANGE_BYTES))
-    shares = [i / ranges for i in range(1, ranges)]
-    edges = sorted(set((rows.agg(F.percentile_approx("_key", shares, max(10_000, 10 * ranges)).alias("e")).first()["e"] or []) if shares else []))
+    doc_id (after the last: the first). Null ids come first, rows with equal ids follow each other by text; ids that are no whole
+    numbers are ordered as text, by code point. Null and empty texts have the fingerprint of no paragraphs. Other columns are left out,
+    whatever their names; an empty table gives no rows.
+
+    Documents are dealt by ranges of doc_id, whose edges come from a bounded sample of ids (any edges give the same rows), and the first document of each range
+    goes to the range before as well: neighbours meet in one shuffle of the texts, and a task reads its range in order without
+    holding it."""
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit(""))
+    rows = texts(docs).withColumn("_key", key)
+    size, number = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    ranges = min(MOST_RANGES, parts_for(size, RANGE_BYTES))
+    share = min(1.0, IDS_A_RANGE * ranges / max(1, number))
+    sample = sorted(r["_key"] for r in rows.select("_key").sample(share, seed=7).collect()) if ranges > 1 else []  # 160,000 ids at most, give or take a few hundred
+    edges = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
     @F.pandas_udf("int")
     def part(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), "left").astype(np.int32))
+        return pd.Series([bisect_left(edges, k) for k in key.tolist()], dtype=np.int32)
 
     firsts = sorted((r["part"], r["key"]) for r in rows.select("_key").groupBy(part("_key").alias("part")).agg(F.min("_key").alias("key")).collect())  # one row a range
     before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
 
     @F.pandas_udf("array<int>")
     def parts(key: pd.Series) -> pd.Series:
-        own = np.searchsorted(edges, key.to_numpy(), "left").tolist()
-        return pd.Series([[p, before[k]] if k in before else [p] for p, k in zip(own, key.tolist())], dtype=object)
+        return pd.Series([[p, before[k]] if k in before else [p] for p, k in ((bisect_left(edges, k), k) for k in key.tolist())], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = Hasher(), None
