@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import SPACE
-from plumbline.session import materialise
+from plumbline.session import broadcast_if_small, materialise
 
 WINNERS, TRACKED = 512, 8192
 
@@ -38,9 +38,23 @@ def copies(docs: DataFrame, winners: int = WINNERS, tracked: int = TRACKED) -> D
     return settled.unionByName(rest).select("doc_id", F.col("_first.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_first._row")).alias("kept"), "text_sha256")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, without the copies of another row."""
-    kept = copies(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("_id"), digest(docs["text"]).alias("_sha"))
-    same = rows["_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_id", "_sha"]).select("_doc.*")
+def deduplicate(docs: DataFrame, winners: int = WINNERS) -> DataFrame:
+    """The rows of `docs`, all columns whatever their names, without the copies of another row (see `copies` for nulls and ties); an
+    empty table gives no rows. Texts stay where they are: the copies of the `winners` largest groups go by their digest, which is
+    broadcast, the others as (doc_id, digest), broadcast too if a count shows that they are few; only rows that repeat both
+    are shuffled."""
+    found = materialise(copies(docs), "copies")
+    large = found.where("kept and group_size > 1").orderBy(F.desc("group_size"), "text_sha256").limit(winners)
+    large = materialise(large.select(F.col("text_sha256").alias("_large"), F.col("keep_id").alias("_stays")), "largest")  # at most `winners` rows
+    other = found.where("not kept").join(F.broadcast(large), F.col("text_sha256") == F.col("_large"), "left_anti")
+    again = found.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_again"), F.col("text_sha256").alias("_same")).distinct()
+    gone = other.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    again, gone = (materialise(x, "gone") for x in (again, gone))
+
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("_id"), digest(docs["text"]).alias("_hash"))
+    kept = rows.join(F.broadcast(large), F.col("_hash") == F.col("_large"), "left").where(F.col("_large").isNull() | F.col("_id").eqNullSafe(F.col("_stays")))
+    kept = kept.join(broadcast_if_small(gone), F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_sha")), "left_anti").select("_doc", "_id", "_hash")
+    if again.head() is not None:
+        same, again = F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_hash") == F.col("_same")), broadcast_if_small(again)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"]))
+    return kept.select("_doc.*")
