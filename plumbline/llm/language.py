@@ -31,7 +31,7 @@ def lowered(text: str) -> np.ndarray:
     return np.where(letter, codes, 32)[letter | np.concatenate([[True], letter[:-1]])]
 
 
-LETTER = np.array([chr(c).isalpha() for c in range(0x30000)] + [False])
+LETTER = np.array([chr(c).isalpha() for c in range(0x40000)] + [False])  # the planes above hold no letters
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -132,7 +132,8 @@ def scored(text: str | None, names: list[str], matrices: list[np.ndarray]) -> tu
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row."""
+    """doc_id, held_out, lang_pred, score for every row, repeated ones too; other columns are left out. Null texts and texts without
+    a letter are `und`; an empty table gives no rows."""
     return docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), language(docs["text"], model).alias("l")).select("doc_id", "held_out", "l.*")
 
 

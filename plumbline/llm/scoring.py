@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.common import fold, parts_for, text_bytes, texts, utf8
 from plumbline.session import materialise
@@ -234,7 +235,6 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFram
     tokens, words, once, twice = (x or 0 for x in sums.where("block < 0").agg(*(F.sum(c) for c in ("tokens", "words", "once", "twice"))).first())
     discount = once / (once + 2 * twice) if once and twice else 0.5
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    run = scored(order, prior, tokens, words, discount, kind)
+    run = scored(order, prior, tokens, words, discount, to_arrow_type(docs.schema["doc_id"].dataType))
     return (dealt.groupBy("block").cogroup(sums.where("block >= 0").groupBy("block"))
             .applyInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

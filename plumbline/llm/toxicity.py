@@ -38,14 +38,17 @@ class Model(NamedTuple):
 
 
 def windows(text: bytes) -> list[bytes]:
-    """The words; a longer one is cut, so that every window is short."""
-    words = text.lower().split()
-    return words if max(map(len, words), default=0) <= WINDOW_BYTES else [w[i:i + WINDOW_BYTES] for w in words for i in range(0, len(w), WINDOW_BYTES)]
+    """The words, each with a space before and behind it; a longer one is cut so that every window is short, and the parts overlap so that
+    each of its pieces lies in some part."""
+    marked = [b" " + w + b" " for w in text.lower().split()]
+    if max(map(len, marked), default=0) <= WINDOW_BYTES + 2:
+        return marked
+    step = WINDOW_BYTES - PIECE + 1
+    return [part for w in marked for part in ([w] if len(w) <= WINDOW_BYTES + 2 else [w[i:i + WINDOW_BYTES] for i in range(0, len(w) - PIECE + 1, step)])]
 
 
 def pieces(window: bytes) -> list[bytes]:
-    marked = b" " + window + b" "
-    return [marked[i:i + PIECE] for i in range(max(1, len(marked) - PIECE + 1))]
+    return [window[i:i + PIECE] for i in range(max(1, len(window) - PIECE + 1))]
 
 
 def codes(found: list[bytes]) -> bytes:
@@ -169,11 +172,13 @@ def score(text: Column, model: Model) -> Column:
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row."""
+    """doc_id, held_out, score, predicted for every row, repeated ones too; other columns are left out. Null and empty texts count as
+    texts without any good window; an empty table gives no rows."""
     scored = docs.select("doc_id", score(docs["text"], model).alias("score"))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs`, all columns, whose score is below the threshold."""
+    """The rows of `docs`, all columns whatever their names, whose score is below the threshold; null and empty texts as in `classify`.
+    An empty table gives no rows."""
     return docs.where(score(docs["text"], model) < THRESHOLD)
