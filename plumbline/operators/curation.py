@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from plumbline.functions import draws, fixed, maths, text
 from plumbline.operators.leakage import near_copies
-from plumbline.operators.ranking import positions, sample_fraction, shuffled, top_per_group
-from plumbline.session import materialise
+from plumbline.operators.ranking import positions, sample_fraction, sample_rows, shuffled, top_per_group
+from plumbline.session import fits, materialise
 
 
 # ---- row filters (columns) --------------------------------------------------------------------------------------------
@@ -265,9 +265,9 @@ def mix(public: DataFrame, own: DataFrame, key: str, cap: int = fixed.FAMILY_CAP
 
 
 def half_and_half(rows: DataFrame, key: str, flag: Column, n: int, seed: int = 0) -> DataFrame:
-    """n // 2 rows where `flag` holds and n // 2 where it does not."""
-    marked = rows.withColumn("_flag", flag)
-    return top_per_group(marked, ["_flag"], [draws.rank_key(seed, F.col(key)), F.col(key)], n // 2, [key]).drop("_flag", "rank")
+    """n // 2 rows where `flag` holds and n // 2 where it does not, however large n is."""
+    marked = rows.withColumn("_flag", flag).where("_flag is not null")
+    return sample_rows(marked, [key], n // 2, seed, ["_flag"]).drop("_flag")
 
 
 def micro_batches(samples: DataFrame, key: str, length: str, micro: int = 8, pool: int = 16, seed: int = 0) -> DataFrame:
@@ -372,9 +372,14 @@ def language_draw(u_share: Column, u_pick: Column, share: float) -> Column:
     return F.when(u_share < share, draws.weighted_choice(u_pick, list(names), list(weights)))
 
 
+DIMENSION_ROWS = 10_000
+
+
 def weighted_join(rows: DataFrame, dim: DataFrame, weight: str, u: Column) -> DataFrame:
-    """Draw one row of a dimension table per row, by weight. The dimension is a parameter table (languages, families:
-    at most a few hundred rows), turned into cumulative ranges inside one array row, so nothing is compared pairwise."""
+    """Draw one row of a dimension table per row, by weight. The dimension is a parameter table (languages, families), turned into
+    cumulative ranges inside one array row, so nothing is compared pairwise; a table of more than DIMENSION_ROWS rows is refused."""
+    if not fits(dim, DIMENSION_ROWS):
+        raise ValueError(f"a dimension has at most {DIMENSION_ROWS} rows")
     entries = dim.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in dim.columns]))).alias("_dim"))
     total = F.aggregate("_dim", F.lit(0.0), lambda a, d: a + d[weight])
     picked = rows.withColumn("_dim", entries.scalar()).withColumn("_total", total).withColumn("_u", u * F.col("_total"))

@@ -85,9 +85,20 @@ def latency_ranks() -> dict[str, Column]:
             "p95": F.floor(F.lit(0.95) * (n - 1)) + 1}
 
 
-def sample_rows(df: DataFrame, ids: list[str], n: int, seed: int) -> DataFrame:
-    """Exactly `n` rows (or all), the same ones in every run. Each task keeps its own first `n`."""
-    return df.orderBy(draws.rank_key(seed, *[F.col(i) for i in ids]), *ids).limit(n)
+def sample_rows(df: DataFrame, ids: list[str], n: int | Column, seed: int, keys: list[str] | None = None) -> DataFrame:
+    """The `n` rows (or all) of smallest draw, in each of `keys` when there are any; the same ones in every run. The draw of the last one is
+    found as an order statistic, then rows are filtered against it, so no task merges or ranks n rows."""
+    by = keys or []
+    drawn = df.withColumn("_draw", draws.unit(seed, *[F.col(i) for i in ids]))
+    most = F.least(F.lit(n) if isinstance(n, int) else n, F.col("n"))
+    cut = order_statistics(drawn.select(*by, "_draw"), by, "_draw", {"cut": most}, bucket=F.floor(F.col("_draw") * 1_000_000))
+    if not by:
+        return drawn.filter(F.col("_draw") <= cut.select("cut").scalar()).drop("_draw")
+    same = F.col("_draw") <= F.col("cut")
+    for k in by:
+        same = same & drawn[k].eqNullSafe(F.col(f"_of_{k}"))
+    cuts = cut.select(*[F.col(k).alias(f"_of_{k}") for k in by], "cut")
+    return drawn.join(cuts, same).select(*df.columns)
 
 
 def sample_fraction(df: DataFrame, ids: list[str], fraction: float, seed: int) -> DataFrame:

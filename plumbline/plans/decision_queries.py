@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import dates, fixed, maths, prompts
 from plumbline.operators import metrics, requests, scoring
 from plumbline.plans.metric_queries import PREDS, predictions
-from plumbline.plans.registry import query
+from plumbline.plans.registry import query, sql_key, sql_unit
 from plumbline.plans.retrieval_queries import sql_retrieval_words
 
 TRIAGE = {
@@ -126,17 +126,23 @@ def chat_prompts(t):
                        F.when(F.size("m") > 2, F.get("m", 2)["content"]).alias("first_answer"))
 
 
-@query("training_samples")
+@query("training_samples", f"""WITH r AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang || ' ' || source || ' ' || n_chars AS state, source, lang FROM documents),
+    o AS (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY {sql_key('id', 'k')}) AS pos FROM r, (VALUES ('one'), ('two'), ('three')) v(k)),
+    l AS (SELECT id, string_agg('{{"label":"' || chr(CAST(64 + pos AS INTEGER)) || '","key":"' || k || '","description":"about ' || k || '"}}', ',' ORDER BY pos) AS opts,
+        max(chr(CAST(64 + pos AS INTEGER))) FILTER (k = 'three') AS answer, max(chr(CAST(64 + pos AS INTEGER))) FILTER (k = 'two') AS shown FROM o GROUP BY id)
+    SELECT id, answer, {sql_unit('id', salt='explain')} < {fixed.EXPLAIN_SHARE} AS explained, CASE WHEN {sql_unit('id', salt='explain')} < {fixed.EXPLAIN_SHARE} THEN length('It says ' || lang) + 1 ELSE 0 END AS tail_chars,
+        md5('{{"question":"Which one?","options":[' || opts || ']' || CASE WHEN {sql_unit('id', salt='zero')} >= {fixed.ZERO_SHOT_SHARE} THEN ',"examples":[{{"state":' || to_json(source) || ',"answer":"' || shown || '"}}]' ELSE '' END
+            || ',"state":' || to_json(state) || '}}') AS prompt_md5 FROM r JOIN l USING (id)""")
 def training_samples(t):
-    """Training samples from documents (options and examples in hashed order, so no SQL twin)."""
+    """A training sample about every document's properties, options and examples in a hashed order."""
     from plumbline.operators import curation
     option = lambda k: F.struct(F.lit(k).alias("key"), F.lit("about " + k).alias("description"))
     rows = t.documents.select(
         F.col("doc_id").cast("string").alias("id"), F.lit("Which one?").alias("question"), F.array(*[option(k) for k in ("one", "two", "three")]).alias("options"),
-        F.array(F.struct(F.col("source").alias("state"), F.lit("two").alias("gold"))).alias("examples"), F.col("text").alias("state"), F.lit("three").alias("gold"),
+        F.array(F.struct(F.col("source").alias("state"), F.lit("two").alias("gold"))).alias("examples"), F.concat_ws(" ", "lang", "source", F.col("n_chars").cast("string")).alias("state"), F.lit("three").alias("gold"),
         F.concat(F.lit("It says "), "lang").alias("why"))
     done = curation.training_samples(rows)
-    return done.select("id", "answer", "explained", F.length("tail").alias("tail_chars"), F.md5(F.col("messages")[1]["content"]).alias("prompt_md5"))
+    return done.select("id", "answer", "explained", F.length("tail").cast("bigint").alias("tail_chars"), F.md5(F.col("messages")[1]["content"]).alias("prompt_md5"))
 
 
 TONGUES = [("en", "that this from ation"), ("de", "der die das und ich"), ("fr", "le les des une est"), ("es", "el los las una por")]
