@@ -162,7 +162,7 @@ def teacher(rows):
     asked = F.element_at("messages", -1)["content"]
     first = F.substring(F.md5(asked), 1, 1)
     said = F.when(first < "3", "I don't have that information.").when(first == "e", " ").otherwise(
-        F.concat(F.upper(F.substring(asked, 1, 20)), F.lit(" #"), F.size("messages").cast("string")))
+        F.concat(F.lit("Re: "), F.substring(asked, 1, 20), F.lit(" #"), F.size("messages").cast("string")))
     return rows.withColumn("error", _failed(asked)).withColumn("response", F.when(F.col("error").isNull(), said)).withColumn("finish_reason", F.when(first == "d", "length").otherwise("stop"))
 
 
@@ -175,7 +175,7 @@ def says_unknown(rows):
     k AS (SELECT *, NOT failed AND c <> 'e' AND (answerable OR c < '3') AS kept FROM q),
     h AS (SELECT *, coalesce(bool_or(kept) OVER (PARTITION BY conv_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AND {sql_unit('conv_id', 'j', seed='0', salt='carry')} < 0.3 AS carried FROM k)
     SELECT conv_id, j AS turn, CASE WHEN conv_id % 2 = 0 THEN 'English' ELSE 'German' END AS lang, CAST(CASE WHEN carried THEN 4 ELSE 2 END AS BIGINT) AS n_messages, answerable, c = 'd' AS truncated,
-        CASE WHEN c < '3' THEN 'I don''t have that information.' ELSE regexp_replace(regexp_replace(upper(substr(text, 1, 20)), '^{SQL_SPACES}', '') || ' #' || CASE WHEN carried THEN 4 ELSE 2 END, '{SQL_SPACES}$', '') END AS response FROM h WHERE kept""")
+        CASE WHEN c < '3' THEN 'I don''t have that information.' ELSE regexp_replace('Re: ' || substr(text, 1, 20) || ' #' || CASE WHEN carried THEN 4 ELSE 2 END, '{SQL_SPACES}$', '') END AS response FROM h WHERE kept""")
 def teacher_chats(t):
     """Every conversation as a knowledge base whose questions are its user turns; every other turn can't be answered from it."""
     asked = F.struct("turn", F.col("text").alias("question"), (F.col("turn") % 4 == 0).alias("answerable"))
