@@ -260,6 +260,10 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([None if x.values is None else own.decode(x.values.to_pylist()) for x in part.column(1)], pa.string())], ["doc_id", "ids", "text"])
+                lists = part.column(1)
+                at, gone = lists.offsets.to_numpy(), lists.is_null().to_pylist()
+                ids = lists.values.slice(at[0], at[-1] - at[0]).fill_null(-1).to_numpy().tolist()
+                decoded = [None if none else own.decode(ids[i:j]) for none, i, j in zip(gone, (at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist())]
+                yield pa.record_batch([part.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
