@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, text
 from plumbline.functions.binding import let
-from plumbline.operators.bloom import may_hold
+from plumbline.operators.bloom import held_in, may_hold, with_filter
 from plumbline.session import broadcast_if_small, fresh_path, materialise, spread
 
 
@@ -136,49 +136,56 @@ def exact_copies(left: DataFrame, right: DataFrame) -> DataFrame:
             .join(broadcast_if_small(other), ["w1", "w2"], "left_semi").select(*left.columns))
 
 
+FREQUENT_IN, FREQUENT_OF = 4, 8  # a shingle in so many texts of one benchmark text in FREQUENT_OF comes last
+FREQUENT_BITS = 1 << 20  # of the filter that says which; more shingles than it is good for only make the order worse
+
+
 def near_copies(texts: DataFrame, bench: DataFrame, id_col: str, n: int = fixed.COPY_WORDS,
                 threshold: float = fixed.COPY_JACCARD) -> DataFrame:
     """Texts whose `n`-word shingle set has a Jaccard similarity of at least `threshold` with some benchmark text:
-    (id, best similarity). Exact, no sampling.
-
-    1. Equal benchmark texts are collapsed, and every shingle gets a rank: rarest in the benchmark first.
-    2. A text can only reach the threshold when at least ceil(threshold * size) of its shingles occur in the benchmark
-       at all. Almost every text fails this, next to the scan.
-    3. For the rest, only the first size - ceil(threshold * size) + 1 shingles of each set (in rank order) can decide
-       whether two sets meet, so only those are joined; a shingle that fills the benchmark is never in a prefix unless
-       the set has nothing rarer. Candidate pairs also have to agree in size.
-    4. Candidates are checked on the full sets."""
-    def sets(df: DataFrame, key: str, out: str) -> DataFrame:
-        return _worded(df).select(F.col(key).alias(out), text.fingerprints(F.col("_words"), n).alias("g"))
-
-    def members(df: DataFrame, key: str, size: str) -> DataFrame:
-        """One row per set member with the set's size; both come out of the generator, so that no filter on them is
-        pushed below the hashing."""
-        rows = let(F.col("g"), lambda g: F.transform(g, lambda h: F.struct(h.alias("h"), F.size(g).alias("n"))))
-        return df.select(key, F.explode_outer(rows).alias("m")).select(
-            key, F.col("m.n").alias(size), F.col("m.h").alias("h")).filter(F.col("h").isNotNull())
-
-    bench_sets = sets(bench.select("text").distinct().withColumn("b", F.xxhash64("text")), "b", "b")
-    bench_members = members(bench_sets, "b", "bn")
-    frequency = bench_members.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    prefix = lambda size: size - F.ceil(F.lit(threshold) * size) + 1
-    ranked = bench_members.join(frequency, "h").withColumn(
-        "r", F.row_number().over(Window.partitionBy("b").orderBy("df", "h")))
-    index = ranked.filter(F.col("r") <= prefix(F.col("bn"))).select("h", "b", "bn")
-
-    probe = members(sets(texts, id_col, "id"), "id", "n")
-    known = (probe.join(broadcast_if_small(frequency), "h").groupBy("id", "n")
-             .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hits"))
-             .filter(F.size("hits") >= F.ceil(F.lit(threshold) * F.col("n"))))
-    # shingles unknown to the benchmark are the rarest of all, so they use up the first places of the prefix
-    room = (prefix(F.col("n")) - (F.col("n") - F.size("hits"))).cast("int")
-    heads = known.select("id", "n", "hits", F.explode_outer(F.slice("hits", F.lit(1), room)).alias("p"))
-    pairs = (heads.select("id", "n", "hits", F.col("p.h").alias("h")).join(broadcast_if_small(index), "h")
-             .filter((F.col("bn") >= F.ceil(F.lit(threshold) * F.col("n")))
-                     & (F.col("n") >= F.ceil(F.lit(threshold) * F.col("bn"))))
-             .groupBy("id", "b").agg(F.first("n").alias("n"), F.first("bn").alias("bn"), F.first("hits").alias("hits")))
-    checked = pairs.join(bench_sets.select("b", "g"), "b").withColumn(
-        "common", F.size(F.array_intersect(F.transform("hits", lambda s: s["h"]), F.col("g"))))
-    scored = checked.withColumn("jaccard", F.col("common") / (F.col("n") + F.col("bn") - F.col("common")))
-    return (scored.filter(F.col("jaccard") >= threshold).groupBy(F.col("id").alias(id_col))
-            .agg(F.max("jaccard").alias("jaccard")))
+    (id, best similarity). Exact.
+
+    1. Each side's sets are written once, and equal sets are compared once.
+    2. A set of size s shares at least c = ceil(threshold * s) shingles with any set that is near it. Whatever order the shingles have, near
+       sets then share at least k of the first s - c + k of them, so only these prefixes are joined, by shingle alone, and pairs that share
+       fewer or do not agree in size go. k is about a quarter of c: sets that merely share a phrase don't become candidates.
+    3. The order is by hash, with frequent shingles last, so that those are joined only where a set has nothing rarer. Which are frequent
+       is counted in a part of the benchmark: it decides on the order only, the same on both sides, and never on what is found.
+    4. Candidates are checked on the full sets, which are fetched for candidates only."""
+    def sets(df: DataFrame, label: str, *keep: Column) -> DataFrame:
+        return materialise(_worded(df).select(*keep, text.fingerprints(F.col("_words"), n).alias("g"))
+                           .withColumn("_row", F.monotonically_increasing_id()), label).where(F.size("g") > 0).withColumn("key", F.xxhash64("g"))
+
+    def distinct(held: DataFrame, label: str) -> DataFrame:
+        first = materialise(held.groupBy("key").agg(F.min("_row").alias("_row")).select("_row"), label)
+        return held.join(broadcast_if_small(first), "_row", "left_semi").select("key", "g")
+
+    least = lambda size: F.ceil(F.lit(threshold) * size - 1e-9).cast("int")
+    common = lambda size: F.floor(least(size) / 4).cast("int") + 1
+
+    probe_all, bench_all = sets(texts, "probe_sets", F.col(id_col).alias("id")), sets(bench.select("text"), "bench_sets")
+    probe, others = distinct(probe_all, "probe_first"), distinct(bench_all, "bench_first")
+    part = bench_all.where(F.pmod("key", F.lit(FREQUENT_OF)) == 0).select(F.explode("g").alias("h"))
+    frequent = materialise(part.groupBy("h").count().where(F.col("count") >= FREQUENT_IN).select("h"), "frequent")
+    often = held_in(F.col("_often"), FREQUENT_BITS)
+
+    def heads(df: DataFrame, key: str, size: str) -> DataFrame:
+        order = F.array_sort(F.transform("g", lambda h: F.struct(often(h).alias("often"), h.alias("h"))))
+        first = F.slice(order, F.lit(1), F.size("g") - least(F.size("g")) + common(F.size("g")))
+        return with_filter(df, frequent, "h", "_often", FREQUENT_BITS).select(F.col("key").alias(key), F.size("g").alias(size), F.explode_outer(first).alias("p")).select(key, size, F.col("p.h").alias("h"))
+
+    pairs = (heads(probe, "a", "an").join(heads(others, "b", "bn"), "h")
+             .where((F.col("bn") >= least(F.col("an"))) & (F.col("an") >= least(F.col("bn"))))
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+             .where(F.col("shared") >= F.least(common(F.col("an")), common(F.col("bn")))).select("a", "b"))
+    pairs = materialise(pairs, "candidates")
+
+    def asked(df: DataFrame, key: str, out: str) -> DataFrame:
+        held = df.join(broadcast_if_small(pairs.select(F.col(key).alias("key")).distinct()), "key", "left_semi")
+        return held.select(F.col("key").alias(key), F.col("g").alias(out))
+
+    both = pairs.join(asked(probe, "a", "ga"), "a").join(asked(others, "b", "gb"), "b")
+    shared = both.select("a", F.size("ga").alias("an"), F.size("gb").alias("bn"), F.size(F.array_intersect("ga", "gb")).alias("common"))
+    near = shared.select("a", (F.col("common") / (F.col("an") + F.col("bn") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    best = near.groupBy("a").agg(F.max("jaccard").alias("jaccard"))
+    return probe_all.select("id", "key").join(best, F.col("key") == F.col("a")).groupBy(F.col("id").alias(id_col)).agg(F.max("jaccard").alias("jaccard"))
