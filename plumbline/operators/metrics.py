@@ -194,21 +194,18 @@ def choose_candidate(scores: DataFrame, sets: int = 3) -> DataFrame:
                                      ).select("size", "b.candidate", "b.mean")
 
 
-def poisson_draw(n: Column, u: Column, v: Column) -> Column:
-    """A Poisson draw of mean `n` from two uniform draws: a normal one (Box-Muller), corrected for skew, rounded, at least 0."""
-    z = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
-    return F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n) * z + (z * z - 1) / 6 + 0.5).cast("double"))
-
-
-def bootstrap_interval(rows: DataFrame, repeats: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Percentile bootstrap of accuracy: (low, high). Resampling rows with Poisson(1) weights only needs the weight of the correct ones and
-    that of the others, which are Poisson with their counts as means; so the table is counted once and each repeat draws two
-    numbers, whatever the number of rows."""
-    counts = rows.agg(F.count_if("correct").alias("right"), F.count_if(~F.col("correct")).alias("wrong"))
-    each = counts.select("right", "wrong", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_b"))
-    u = lambda name: draws.unit(seed, F.col("_b"), salt=name)
-    drawn = each.select(poisson_draw(F.col("right"), u("right-u"), u("right-v")).alias("r"), poisson_draw(F.col("wrong"), u("wrong-u"), u("wrong-v")).alias("w"))
-    runs = drawn.select(F.try_divide(F.col("r"), F.col("r") + F.col("w")).alias("acc"))
+def bootstrap_interval(rows: DataFrame, key: str, repeats: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Percentile bootstrap of accuracy: (low, high). Each row gets a Poisson(1) weight per repeat from its hash, so resampling needs
+    no shuffle of rows; the repeats are summed next to the scan."""
+    cuts, total = [], 0.0
+    for k in range(12):
+        total += math.exp(-1) / math.factorial(k)
+        cuts.append(total)
+    u = draws.unit(seed, F.col(key), F.col("_b"), salt="bootstrap")
+    drawn = rows.select("correct", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_b"), key).select("_b", "correct", u.alias("_u"))
+    weight = sum(((F.col("_u") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    runs = drawn.select("_b", "correct", weight.alias("_w")).groupBy("_b").agg(
+        F.try_divide(F.sum(F.col("_w") * F.col("correct").cast("int")), F.sum("_w")).alias("acc"))
     tail = (1 - level) / 2
     return runs.agg(F.percentile("acc", F.lit(tail)).alias("low"), F.percentile("acc", F.lit(1 - tail)).alias("high"))
 
