@@ -214,3 +214,16 @@ DATE_FORMS = [
     (rf"(?iu){OTHER_DAY}{OTHER_MONTH}{NOT_BEFORE_WORD}(?!\.?{OTHER_YEAR})", ("day", "other")),
     (rf"{NOT_AFTER_WORD}({NATIVE_DIGIT}{{1,2}})(?U:\s)?[月월](?U:\s)?({NATIVE_DIGIT}{{1,2}})(?U:\s)?[日일]", ("month", "day")),
 ]
+
+
+def _any_start(words: list[str]) -> str:
+    """A pattern for texts that begin with one of `words`, letter by letter, so that most texts fail at the first one."""
+    if "" in words:
+        return ""
+    firsts = sorted({w[0] for w in words})
+    return "(?:" + "|".join(c + _any_start([w[1:] for w in words if w[0] == c]) for c in firsts) + ")"
+
+
+# what a form other than the first can't be without: the sign of a month, an English month, or a month of another language behind its day
+MONTH_HINT = (r"[年년月월]|(?=[JFMASOND])(?:Jan|Feb|Mar|Apr|May|Ju[nl]|Aug|Sep|Oct|Nov|Dec)"
+              rf"|{NATIVE_DIGIT}(?iu)(?:er)?\.?(?U:\s)(?:de(?U:\s))?(?=[{''.join(sorted({w[0] for w in OTHER_MONTHS}))}]){_any_start(list(OTHER_MONTHS))}")
