@@ -64,13 +64,18 @@ def pool_keys(pool: DataFrame, n: int = fixed.LEAK_WORDS, test: Callable[[Column
 
 
 def store_pool(pool: DataFrame, n: int = fixed.LEAK_WORDS, buckets: int | None = None) -> DataFrame:
-    """The pool's keys as a table bucketed by key, written once. Whoever joins it on the key shuffles their own side only, and the
-    pool's texts are not read again. There are as many buckets as shuffle partitions at least, else the planner would
-    deal the pool anew."""
-    spark, name = pool.sparkSession, f"leakage_pool_{uuid.uuid4().hex}"
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (pool_keys(pool, n).repartition(buckets, *KEY).write.bucketBy(buckets, *KEY).sortBy("h").format("parquet")
-     .option("path", fresh_path(spark, "leakage_pool")).saveAsTable(name))
+    """The pool's keys as a table bucketed by key, written once where they are made: every task writes its own file of each bucket, side by
+    side, so nothing is shuffled, sorted or spilled. Whoever joins it on the key shuffles their own side only, and the pool's texts are not
+    read again; a key that comes several times is there several times. There are as many buckets as shuffle partitions at least,
+    else the planner would deal the pool anew."""
+    spark, name, writers = pool.sparkSession, f"leakage_pool_{uuid.uuid4().hex}", "spark.sql.maxConcurrentOutputFileWriters"
+    buckets, before = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), spark.conf.get(writers)
+    try:
+        spark.conf.set(writers, str(buckets + 1))
+        (_keys(_worded(pool), n).select(*KEY).write.bucketBy(buckets, *KEY).format("parquet").option("parquet.block.size", str(4 << 20))
+         .option("path", fresh_path(spark, "leakage_pool")).saveAsTable(name))
+    finally:
+        spark.conf.set(writers, before)
     return spark.table(name)
 
 
@@ -82,10 +87,12 @@ def _hits(asked: DataFrame, found: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def hits_in(stored: DataFrame, items: DataFrame, n: int = fixed.LEAK_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """As `shingle_hits`, against keys that `store_pool` wrote with the same `n`."""
+    """As `shingle_hits`, against keys that `store_pool` wrote with the same `n`. A Bloom filter over the items' keys is tested inside the
+    scan of the stored ones, so that of these only what the items may have is shuffled."""
     keep = keep or ["eval_set", "item_id"]
-    asked = _keys(_worded(items), n, *keep).dropDuplicates([*keep, *KEY])
-    found = stored.join(asked.select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct(), [F.col(c) == F.col(f"_{c}") for c in KEY]).select(*KEY)
+    asked = materialise(_keys(_worded(items), n, *keep).dropDuplicates([*keep, *KEY]), "asked")
+    held = stored.where(may_hold(asked, "h")(F.col("h")))
+    found = held.join(asked.select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct(), [F.col(c) == F.col(f"_{c}") for c in KEY]).select(*KEY).distinct()
     return _hits(asked, found, keep)
 
 
