@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import draws, fixed, maths, text
+from plumbline.functions.binding import let
 from plumbline.operators.leakage import near_copies
 from plumbline.operators.ranking import positions, sample_fraction, sample_rows, shuffled, top_per_group
 from plumbline.session import fits, materialise
@@ -381,11 +382,21 @@ def weighted_join(rows: DataFrame, dim: DataFrame, weight: str, u: Column) -> Da
     if not fits(dim, DIMENSION_ROWS):
         raise ValueError(f"a dimension has at most {DIMENSION_ROWS} rows")
     entries = dim.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in dim.columns]))).alias("_dim"))
+    sums = F.aggregate("_dim", F.array().cast("array<double>"), lambda a, d: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + d[weight]))
     total = F.aggregate("_dim", F.lit(0.0), lambda a, d: a + d[weight])
-    picked = rows.withColumn("_dim", entries.scalar()).withColumn("_total", total).withColumn("_u", u * F.col("_total"))
-    run = F.aggregate("_dim", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")), lambda a, d: F.struct(
-        (a["sum"] + d[weight]).alias("sum"), (a["at"] + F.when(a["sum"] + d[weight] <= F.col("_u"), 1).otherwise(0)).alias("at")))
-    return picked.withColumn("_d", F.get("_dim", F.least(run["at"], F.size("_dim") - 1))).select(
+    shelf = lambda v: F.floor(F.try_divide(v * F.size("_dim"), F.col("_total"))).cast("int")  # noqa: E731  # never falls as v grows
+    # the sums of each shelf, and how many lie on shelves below: a draw is compared with the sums of its own shelf only
+    held = entries.select("_dim", sums.alias("_sums"), total.alias("_total"))
+    held = held.select("_dim", "_total", F.transform(F.sequence(F.lit(0), F.size("_dim")), lambda b: F.struct(
+        F.size(F.filter("_sums", lambda s: shelf(s) < b)).alias("below"), F.filter("_sums", lambda s: shelf(s) == b).alias("own"))).alias("_shelves"))
+    held = materialise(held, "dimension")
+    drawn = rows.withColumn("_part", u).crossJoin(F.broadcast(held))
+    # a generator's output is not inlined into the lambda below, which would draw once per sum
+    drawn = drawn.select(*rows.columns, "_dim", "_shelves", "_total", F.explode_outer(F.array(F.col("_part") * F.col("_total"))).alias("_u"))
+    own = F.get("_shelves", shelf(F.col("_u")))
+    at = let(own, lambda s: s["below"] + F.size(F.filter(s["own"], lambda x: x <= F.col("_u"))))
+    at = F.least(F.when(F.col("_total") == 0, F.size("_dim")).otherwise(F.coalesce(at, F.lit(0))), F.size("_dim") - 1)
+    return drawn.select(*rows.columns, F.explode_outer(F.array(F.get("_dim", at))).alias("_d")).select(
         *rows.columns, *[F.col(f"_d.{c}").alias(c) for c in dim.columns])
 
 
