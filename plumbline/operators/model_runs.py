@@ -18,6 +18,7 @@ from plumbline.functions import draws, fixed, maths, prompts, text
 from plumbline.operators import curation, metrics
 
 Call = Callable[[DataFrame], DataFrame]
+TEMPLATES_A_TASK = 5_000  # their prompts and labels are sorted in one task, which small compressed input would fill with far more
 FEW_SHOT_OPTIONS = 8  # with more options a worked example per option would repeat all of them too often
 
 
@@ -69,11 +70,12 @@ def label(templates: DataFrame, call: Call, path: str, batches: int = 1) -> Data
     """`templates` (tid, question, options, examples, pairs) with teacher_a and teacher_b (option key to probability) in every pair.
     `call` adds `seen`, the probability of each token at the answer's place, and `error` to the rows of `label_rows`. A template with any
     failed half is left out, so that the next run labels it whole; finished templates come from the journal at `path`."""
+    parts = max(templates.sparkSession.sparkContext.defaultParallelism, -(-templates.count() // TEMPLATES_A_TASK))
     keys = F.transform("options", lambda o: o["key"])
     letters = F.transform("options", lambda o, i: prompts.label_at(i))
 
     def one(todo: DataFrame) -> DataFrame:
-        scored = call(label_rows(todo)).withColumn("probs", F.map_from_arrays(keys, maths.letter_probs(F.col("seen"), letters)))
+        scored = call(label_rows(todo.repartition(parts, "tid"))).withColumn("probs", F.map_from_arrays(keys, maths.letter_probs(F.col("seen"), letters)))
         half = lambda s: F.max_by("probs", F.when(F.col("side") == s, 1)).alias(f"teacher_{s}")
         pairs = scored.groupBy("tid", "at").agg(half("a"), half("b"), F.count("seen").alias("n"), F.max("error").alias("error"))
         return pairs.groupBy("tid").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("teacher_a", "teacher_b")))).alias("labels"),
@@ -82,7 +84,8 @@ def label(templates: DataFrame, call: Call, path: str, batches: int = 1) -> Data
     whole = F.col("error").isNull() & (F.col("n") == 2 * F.size("labels"))
     labels = resumed(templates, "tid", one, path, batches, whole).select(F.col("tid").alias("_tid"), "labels")
     merged = F.transform("pairs", lambda p, i: p.withField("teacher_a", F.col("labels")[i]["teacher_a"]).withField("teacher_b", F.col("labels")[i]["teacher_b"]))
-    return templates.join(labels, F.col("tid") == F.col("_tid")).withColumn("pairs", merged).drop("_tid", "labels")
+    # labels are maps, which take some forty times their compressed size in memory: never broadcast
+    return templates.repartition(parts, "tid").join(labels.hint("merge"), F.col("tid") == F.col("_tid")).withColumn("pairs", merged).drop("_tid", "labels")
 
 
 # ---- distillation -----------------------------------------------------------------------------------------------------
