@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """At most BATCH_ROWS rows in an Arrow batch of this session: rows hold whole texts, and a task's memory follows the batch."""
+    """At most BATCH_ROWS rows in an Arrow batch of this session, and no further row after BATCH_BYTES: rows hold whole texts, and a task's
+    memory follows the batch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, *also: str) -> DataFrame:
