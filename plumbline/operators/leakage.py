@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed, text
 from plumbline.functions.binding import let
-from plumbline.operators.bloom import held_in, may_hold, with_filter
+from plumbline.operators.bloom import may_hold
 from plumbline.session import broadcast_if_small, fresh_path, materialise, spread
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # task code travels with the job: executors need no copy of the package
+
 
 def text_pool(*parts: tuple[DataFrame, str]) -> DataFrame:
     """One column `text` from several (table, column) projections; an array column gives one row per element."""
@@ -143,8 +150,43 @@ def exact_copies(left: DataFrame, right: DataFrame) -> DataFrame:
             .join(broadcast_if_small(other), ["w1", "w2"], "left_semi").select(*left.columns))
 
 
-FREQUENT_IN, FREQUENT_OF = 4, 8  # a shingle in so many texts of one benchmark text in FREQUENT_OF comes last
-FREQUENT_BITS = 1 << 20  # of the filter that says which; more shingles than it is good for only make the order worse
+FREQUENT_OF, FREQUENT_CELLS = 8, 1 << 22  # one set in so many is counted for the order of shingles; cells (bytes) that keep how frequent they are
+MEET = 16  # near sets have to share one first shingle, and one more for so many that they share in all
+COPIES = 4_000_000  # row numbers of repeated sets, up to which they are broadcast
+
+
+def _places(h: Column) -> Column:
+    """The two cells of a shingle, from its lower and its upper bits."""
+    return F.array(h.bitwiseAND(F.lit(FREQUENT_CELLS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(FREQUENT_CELLS - 1)))
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """How frequent shingles are, as a sketch of fixed size: for each cell the highest level (log2 of the count) of the shingles that
+    share it. The less of a shingle's two cells is its level or more. Only the order of shingles follows from it."""
+    counts = sets.select(F.explode("g").alias("h")).groupBy("h").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("level")).where("level > 0")
+    cells = counts.select(F.explode(_places(F.col("h"))).alias("cell"), "level").groupBy("cell").agg(F.max("level").cast("byte").alias("level")).toArrow()
+    out = np.zeros(FREQUENT_CELLS, np.uint8)
+    out[cells.column("cell").to_numpy()] = cells.column("level").to_numpy()
+    return out
+
+
+def _heads(sets: DataFrame, levels: np.ndarray, threshold: float, key: str, size: str, at: str) -> DataFrame:
+    """(key, size, at, h): the first shingles of each set, rare ones first, of which near sets share some."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.int64(len(levels) - 1)
+        for batch in batches:
+            lists = batch.column(1)
+            lengths, h = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            level = np.minimum(levels[h & mask], levels[(h >> np.int64(32)) & mask])
+            h = h[np.lexsort((h, level, owner))]
+            place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            least = np.maximum(np.ceil(threshold * lengths - 1e-6), 1)
+            first = place < (lengths - least + 1 + (least - 1) // MEET)[owner]
+            owner = owner[first]
+            yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(lengths[owner], pa.int32()), pa.array(place[first], pa.int32()), pa.array(h[first])], [key, size, at, "h"])
+
+    return sets.select("key", "g").mapInArrow(run, f"{key} long, {size} int, {at} int, h long")
 
 
 def near_copies(texts: DataFrame, bench: DataFrame, id_col: str, n: int = fixed.COPY_WORDS,
@@ -152,39 +194,37 @@ def near_copies(texts: DataFrame, bench: DataFrame, id_col: str, n: int = fixed.
     """Texts whose `n`-word shingle set has a Jaccard similarity of at least `threshold` with some benchmark text:
     (id, best similarity). Exact.
 
-    1. Each side's sets are written once, and equal sets are compared once.
-    2. A set of size s shares at least c = ceil(threshold * s) shingles with any set that is near it. Whatever order the shingles have, near
-       sets then share at least k of the first s - c + k of them, so only these prefixes are joined, by shingle alone, and pairs that share
-       fewer or do not agree in size go. k is about a quarter of c: sets that merely share a phrase don't become candidates.
-    3. The order is by hash, with frequent shingles last, so that those are joined only where a set has nothing rarer. Which are frequent
-       is counted in a part of the benchmark: it decides on the order only, the same on both sides, and never on what is found.
+    1. Each side's sets are written once, of the benchmark only those whose size some text's allows; equal sets are compared once.
+    2. Sets of sizes x and y that are near share at least o = threshold / (1 + threshold) (x + y) shingles. Whatever order the shingles have,
+       they share at least k of the first x - o + k and y - o + k, so only such prefixes are joined, by shingle alone, and pairs that
+       share fewer go. k is 1 and a sixteenth of o: a few longer prefixes, but texts that merely share a phrase don't become candidates.
+    3. The order is by frequency, rare shingles first, so that texts that merely share phrases do not meet. How frequent they are is
+       counted in a part of the sets and kept in a sketch of fixed size: it decides on the order only, the same on both sides, and
+       never on what is found.
     4. Candidates are checked on the full sets, which are fetched for candidates only."""
-    def sets(df: DataFrame, label: str, *keep: Column) -> DataFrame:
-        return materialise(_worded(df).select(*keep, text.fingerprints(F.col("_words"), n).alias("g"))
-                           .withColumn("_row", F.monotonically_increasing_id()), label).where(F.size("g") > 0).withColumn("key", F.xxhash64("g"))
+    def sets(df: DataFrame, label: str, test: Callable[[Column], Column], *keep: Column) -> DataFrame:
+        # the test is made on what a generator gives: a filter on the set itself would be pushed below and build it twice
+        made = _worded(df).select(*keep, F.explode_outer(F.array(text.fingerprints(F.col("_words"), n))).alias("g")).where(test(F.size("g")))
+        return materialise(made.withColumn("_row", F.monotonically_increasing_id()).withColumn("key", F.xxhash64("g")), label)
 
     def distinct(held: DataFrame, label: str) -> DataFrame:
-        first = materialise(held.groupBy("key").agg(F.min("_row").alias("_row")).select("_row"), label)
-        return held.join(broadcast_if_small(first), "_row", "left_semi").select("key", "g")
+        keys = held.select("key", "_row")
+        copies = keys.groupBy("key").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+        again = materialise(keys.join(copies, "key").where("_row <> first").select("_row"), label)
+        return held.join(broadcast_if_small(again, COPIES), "_row", "left_anti").select("key", "g")
 
     least = lambda size: F.ceil(F.lit(threshold) * size - 1e-9).cast("int")
-    common = lambda size: F.floor(least(size) / 4).cast("int") + 1
-
-    probe_all, bench_all = sets(texts, "probe_sets", F.col(id_col).alias("id")), sets(bench.select("text"), "bench_sets")
-    probe, others = distinct(probe_all, "probe_first"), distinct(bench_all, "bench_first")
-    part = bench_all.where(F.pmod("key", F.lit(FREQUENT_OF)) == 0).select(F.explode("g").alias("h"))
-    frequent = materialise(part.groupBy("h").count().where(F.col("count") >= FREQUENT_IN).select("h"), "frequent")
-    often = held_in(F.col("_often"), FREQUENT_BITS)
-
-    def heads(df: DataFrame, key: str, size: str) -> DataFrame:
-        order = F.array_sort(F.transform("g", lambda h: F.struct(often(h).alias("often"), h.alias("h"))))
-        first = F.slice(order, F.lit(1), F.size("g") - least(F.size("g")) + common(F.size("g")))
-        return with_filter(df, frequent, "h", "_often", FREQUENT_BITS).select(F.col("key").alias(key), F.size("g").alias(size), F.explode_outer(first).alias("p")).select(key, size, F.col("p.h").alias("h"))
-
-    pairs = (heads(probe, "a", "an").join(heads(others, "b", "bn"), "h")
-             .where((F.col("bn") >= least(F.col("an"))) & (F.col("an") >= least(F.col("bn"))))
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("an").alias("an"), F.first("bn").alias("bn"))
-             .where(F.col("shared") >= F.least(common(F.col("an")), common(F.col("bn")))).select("a", "b"))
+
+    probe_all = sets(texts, "probe_sets", lambda size: size > 0, F.col(id_col).alias("id"))
+    low, high = probe_all.agg(F.min(least(F.size("g"))), F.max(F.size("g"))).first()
+    bench_all = sets(bench.select("text"), "bench_sets", lambda size: (size > 0) & (size >= F.lit(low)) & (least(size) <= F.lit(high)))
+    probe, others = distinct(probe_all, "probe_again"), distinct(bench_all, "bench_again")
+    levels = _levels(probe_all.select("key", "g").union(bench_all.select("key", "g")).where(F.pmod("key", F.lit(FREQUENT_OF)) == 0))
+    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("an") + F.col("bn")) - 1e-9)
+    common = 1 + F.floor((overlap - 1) / MEET)
+    pairs = (_heads(probe, levels, threshold, "a", "an", "at_a").join(_heads(others, levels, threshold, "b", "bn", "at_b"), "h")
+             .where((F.col("bn") >= least(F.col("an"))) & (F.col("an") >= least(F.col("bn"))) & (F.col("at_a") < F.col("an") - overlap + common) & (F.col("at_b") < F.col("bn") - overlap + common))
+             .groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= common).select("a", "b"))
     pairs = materialise(pairs, "candidates")
 
     def asked(df: DataFrame, key: str, out: str) -> DataFrame:
